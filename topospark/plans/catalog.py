@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from topospark.plans import drift
+
+QUERIES = drift.QUERIES
+ORACLE_SQL = drift.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topospark.plans import drift
+from topospark.plans import clouds, drift
 
-QUERIES = drift.QUERIES
-ORACLE_SQL = drift.ORACLE_SQL
+QUERIES = clouds.QUERIES | drift.QUERIES
+ORACLE_SQL = clouds.ORACLE_SQL | drift.ORACLE_SQL

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from topospark.llm.topn import top_n_ranked
 
-TREES = 12
-DIRECTIONS = 8
-BITS = 8  # a direction; DIRECTIONS * BITS is the length of a string
-REACH = 24  # candidates to each side in each tree
+TREES = 24
+DIRECTIONS = 16
+BITS = 4  # a direction; DIRECTIONS * BITS is the length of a string
+REACH = 96  # candidates to each side in each tree
+NEAR = {"trees": 12, "reach": 32}  # enough where only close neighbours count
 ROWS = 8192
 SEED = 20240101
 
@@ -64,9 +65,13 @@ def candidates(ids: np.ndarray, x: np.ndarray, k: int, reach: int, most: float)
         d2[:-step, reach + step - 1], other[:-step, reach + step - 1] = near, ids[step:]
     d2[d2 > most] = np.inf
     k = min(k, 2 * reach)
-    # ids decide between equal distances, also at the edge of the k
-    order = np.lexsort((other, d2), axis=1)[:, :k]
-    return np.take_along_axis(other, order, 1), np.take_along_axis(d2, order, 1)
+    part = np.argpartition(d2, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(d2, part, 1).max(axis=1, keepdims=True)
+    for i in np.flatnonzero(np.isfinite(edge[:, 0]) & ((d2 <= edge).sum(axis=1) > k)):
+        part[i] = np.lexsort((other[i], d2[i]))[:k]  # ids decide between equal distances
+    near, names = np.take_along_axis(d2, part, 1), np.take_along_axis(other, part, 1)
+    order = np.lexsort((names, near), axis=1)
+    return np.take_along_axis(names, order, 1), np.take_along_axis(near, order, 1)
 
 
 def nearest(
@@ -76,10 +81,13 @@ def nearest(
 
     Centre and width of the coordinates come from all rows; every row is indexed in every tree.
     """
-    stats = vectors.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    single = F.min((F.col("x").cast("float").cast("double") == F.col("x")).cast("int"))
+    stats = vectors.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), single.alias("single"))
     centre, width = np.zeros(dim), np.ones(dim)
-    for row in stats.collect():  # one row a coordinate
+    found = stats.collect()  # one row a coordinate
+    for row in found:
         centre[row.i], width[row.i] = row.m, row.s
+    item = "float" if all(row.single for row in found) else "double"  # half the shuffle, where nothing is lost
     directions = np.random.default_rng(SEED).standard_normal((dim, trees * DIRECTIONS))
     most = np.inf if max_distance is None else max_distance**2
 
@@ -87,7 +95,7 @@ def nearest(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
             words = strings(x, directions, centre, width)
             for t in range(words.shape[1]):
                 tree = np.full(len(x), t, dtype=np.int32)
@@ -112,7 +120,7 @@ def nearest(
         for batch in batches:
             trees_of = batch.column(0).to_numpy()
             ids = batch.column(2).to_numpy()
-            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
             cuts = [0, *(np.flatnonzero(np.diff(trees_of)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
@@ -133,11 +141,12 @@ def nearest(
 
     spark = vectors.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    forest = vectors.select(F.col("id").cast("bigint"), "vector").mapInArrow(plant, "tree int, word bigint, id bigint, vector array<double>")
+    rows = vectors.select(F.col("id").cast("bigint"), F.col("vector").cast(f"array<{item}>").alias("vector"))
+    forest = rows.mapInArrow(plant, f"tree int, word bigint, id bigint, vector array<{item}>")
     arrays = forest.repartitionByRange(parts, "tree", "word").sortWithinPartitions("tree", "word")
-    found = arrays.mapInArrow(climb, "id bigint, neighbours array<struct<d2: double, id: bigint>>")
+    matches = arrays.mapInArrow(climb, "id bigint, neighbours array<struct<d2: double, id: bigint>>")
     # one row a tree and point, so no group is large
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("neighbours")))), 1, k).alias("neighbours"))
+    return matches.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("neighbours")))), 1, k).alias("neighbours"))
 
 
 def nearest_points(points: DataFrame, dim: int, k: int = 5, max_distance: float | None = None, **index: int) -> DataFrame:
@@ -164,6 +173,6 @@ def nearest_points(points: DataFrame, dim: int, k: int = 5, max_distance: float
 
 def close_pairs(points: DataFrame, dim: int, k: int = 5, max_distance: float = 1.0, **index: int) -> DataFrame:
     """``(point_a, point_b)``, smaller first, each once: one is among the other's ``k`` nearest and not further than ``max_distance``."""
-    rows = nearest_points(points, dim, k, max_distance, **index)
+    rows = nearest_points(points, dim, k, max_distance, **(NEAR | index))
     ends = rows.select(F.least("id", "other").alias("point_a"), F.greatest("id", "other").alias("point_b"))
     return ends.distinct()

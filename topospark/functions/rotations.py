@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,20 +12,33 @@ def _at(a: Column, i: int) -> Column:
     return F.element_at(a, i + 1)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quaternion_to_matrix(q: Column) -> Column:
     """3x3 matrix of a quaternion (w, x, y, z), normalised first."""
-    length = F.sqrt(sum((_at(q, i) * _at(q, i) for i in range(4)), F.lit(0.0)))
-    w, x, y, z = (_at(q, i) / length for i in range(4))
-    one = F.lit(1.0)
-    return F.array(
-        one - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
-        2 * (x * y + w * z), one - 2 * (x * x + z * z), 2 * (y * z - w * x),
-        2 * (x * z - w * y), 2 * (y * z + w * x), one - 2 * (x * x + y * y),
-    )
+
+    def turn(u: Column) -> Column:
+        w, x, y, z = (_at(u, i) for i in range(4))
+        one = F.lit(1.0)
+        return F.array(
+            one - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
+            2 * (x * y + w * z), one - 2 * (x * x + z * z), 2 * (y * z - w * x),
+            2 * (x * z - w * y), 2 * (y * z + w * x), one - 2 * (x * x + y * y),
+        )
+
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return let(let(q, lambda v: F.transform(v, lambda x: x / length(v))), turn)
 
 
 def matrix_to_quaternion(m: Column) -> Column:
     """Quaternion (w, x, y, z) of a 3x3 matrix, by the largest of the four diagonal forms."""
+    return let(m, _to_quaternion)
+
+
+def _to_quaternion(m: Column) -> Column:
     a = [[_at(m, 3 * i + j) for j in range(3)] for i in range(3)]
     trace = a[0][0] + a[1][1] + a[2][2]
 
@@ -41,24 +56,28 @@ def matrix_to_quaternion(m: Column) -> Column:
         .when(a[1][1] > a[2][2], by_y)
         .otherwise(by_z)
     )
-    length = F.sqrt(F.aggregate(q, F.lit(0.0), lambda s, x: s + x * x)) + 1e-12
-    return F.transform(q, lambda x: x / length)
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)) + 1e-12
+    return let(q, lambda v: F.transform(v, lambda x: x / length(v)))
 
 
 def pose(rotation: Column, translation: Column) -> Column:
     """4x4 pose of a 3x3 rotation and a translation."""
-    rows = [x for i in range(3) for x in (*(_at(rotation, 3 * i + j) for j in range(3)), _at(translation, i))]
-    return F.array(*rows, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+    def rows(r: Column, t: Column) -> Column:
+        top = [x for i in range(3) for x in (*(_at(r, 3 * i + j) for j in range(3)), _at(t, i))]
+        return F.array(*top, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+    return let(rotation, lambda r: let(translation, lambda t: rows(r, t)))
 
 
 def rotation_of(p: Column) -> Column:
     """The 3x3 rotation of a 4x4 pose."""
-    return F.array(*[_at(p, 4 * i + j) for i in range(3) for j in range(3)])
+    return let(p, lambda v: F.array(*[_at(v, 4 * i + j) for i in range(3) for j in range(3)]))
 
 
 def translation_of(p: Column) -> Column:
     """The translation of a 4x4 pose."""
-    return F.array(*[_at(p, 4 * i + 3) for i in range(3)])
+    return let(p, lambda v: F.array(*[_at(v, 4 * i + 3) for i in range(3)]))
 
 
 def inverse_pose(p: Column) -> Column:
@@ -72,6 +91,10 @@ def inverse_pose(p: Column) -> Column:
 
 def multiply_poses(p: Column, q: Column) -> Column:
     """Product of two 4x4 poses."""
+    return let(p, lambda a: let(q, lambda b: _product(a, b)))
+
+
+def _product(p: Column, q: Column) -> Column:
     rotation = F.array(*[
         _at(p, 4 * i) * _at(q, j) + _at(p, 4 * i + 1) * _at(q, 4 + j) + _at(p, 4 * i + 2) * _at(q, 8 + j)
         for i in range(3) for j in range(3)
@@ -85,7 +108,7 @@ def multiply_poses(p: Column, q: Column) -> Column:
 
 def rotation_degrees(p: Column) -> Column:
     """Angle of the rotation of a pose, from its trace."""
-    trace = _at(p, 0) + _at(p, 5) + _at(p, 10)
+    trace = let(p, lambda v: _at(v, 0) + _at(v, 5) + _at(v, 10))
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))
 
 

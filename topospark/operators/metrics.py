@@ -18,9 +18,7 @@ def landmark_points(points: DataFrame, landmarks: DataFrame) -> DataFrame:
 
 def nearest_landmark(points: DataFrame, landmarks: DataFrame, landmark_bound: int | None = None) -> DataFrame:
     """``(cloud_id, point_id, landmark_id, dist)`` of the landmark nearest to each point."""
-    near = knn.nearest(points, landmark_points(points, landmarks), 1, target_bound=landmark_bound)
-    n = F.element_at("neighbours", 1)
-    return near.select("cloud_id", "point_id", n["id"].alias("landmark_id"), n["dist"].alias("dist"))
+    return first_neighbour(knn.nearest(points, landmark_points(points, landmarks), 1, target_bound=landmark_bound))
 
 
 def _slots(values: DataFrame, value: str) -> DataFrame:
@@ -54,13 +52,19 @@ def value_at_rank(values: DataFrame, value: str, ranks: DataFrame) -> DataFrame:
     return within.where(F.col("place") == F.col("rank")).select("cloud_id", value)
 
 
-def coverage(points: DataFrame, landmarks: DataFrame, radius: float, landmark_bound: int | None = None) -> DataFrame:
+def first_neighbour(near: DataFrame) -> DataFrame:
+    """The nearest landmark out of lists of nearest landmarks."""
+    n = F.element_at("neighbours", 1)
+    return near.select("cloud_id", "point_id", n["id"].alias("landmark_id"), n["dist"].alias("dist"))
+
+
+def coverage(points: DataFrame, landmarks: DataFrame, radius: float, landmark_bound: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """How well landmarks cover a cloud: mean and 95th percentile of distances, shares within a radius, plain and by intensity.
 
     ``coverage_weighted_p95`` pairs the sorted distances with the sorted weights by rank. A cloud
-    without landmarks has no row.
+    without landmarks has no row. Lists of nearest landmarks, where they are there, are used again.
     """
-    dist = nearest_landmark(points, landmarks, landmark_bound)
+    dist = first_neighbour(near) if near is not None else nearest_landmark(points, landmarks, landmark_bound)
     rows = prepare.with_weights(points.select("cloud_id", "point_id", "intensity")).join(dist, ["cloud_id", "point_id"])
     inside = F.col("dist") <= radius
     plain = rows.groupBy("cloud_id").agg(
@@ -88,9 +92,10 @@ def hausdorff(points: DataFrame, landmarks: DataFrame) -> DataFrame:
     return nearest_landmark(points, landmarks).groupBy("cloud_id").agg(F.max("dist").alias("hausdorff"))
 
 
-def spread(points: DataFrame, landmarks: DataFrame) -> DataFrame:
+def spread(points: DataFrame, landmarks: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Mean, standard deviation and 95th percentile of the distances, and the share of points that have one."""
-    return nearest_landmark(points, landmarks).groupBy("cloud_id").agg(
+    dist = first_neighbour(near) if near is not None else nearest_landmark(points, landmarks)
+    return dist.groupBy("cloud_id").agg(
         F.avg("dist").alias("coverage_mean"), F.stddev_pop("dist").alias("coverage_std"),
         F.percentile("dist", 0.95).alias("coverage_p95"), F.avg((F.col("dist") < float("inf")).cast("double")).alias("coverage_ratio"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topospark.plans import clouds, drift
+from topospark.plans import clouds, complexes, drift, sequences
 
-QUERIES = clouds.QUERIES | drift.QUERIES
-ORACLE_SQL = clouds.ORACLE_SQL | drift.ORACLE_SQL
+QUERIES = clouds.QUERIES | complexes.QUERIES | sequences.QUERIES | drift.QUERIES
+ORACLE_SQL = clouds.ORACLE_SQL | complexes.ORACLE_SQL | sequences.ORACLE_SQL | drift.ORACLE_SQL

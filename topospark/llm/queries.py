@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from topospark.llm import neighbours, packing, pieces, related, tokens, topn, variety
+from topospark.session import cut_lineage
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
@@ -48,7 +49,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = tokens.count_tokens(_table(spark, folder, "documents"), ["doc_id", "source"])
+    sizes = cut_lineage(tokens.count_tokens(_table(spark, folder, "documents"), ["doc_id", "source"]))  # count once
     return packing.pack(sizes)
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topospark.functions.vectors import distance
+
 BLOCK = 8192
 CHUNK = 1 << 22  # distances held at once
 
@@ -103,6 +105,18 @@ def nearest(points: DataFrame, targets: DataFrame, k: int, exclude_self: bool =
     return merged.where(F.size("neighbours") > 0)
 
 
+def nearest_of_few(points: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """As ``nearest``, for clouds of a handful of targets each (their number must be bounded): all in SQL.
+
+    The targets of a cloud travel as one list, so many tiny clouds cost no Python call each.
+    """
+    entry = F.struct(F.col("point_id").alias("id"), F.col("coords").alias("at"))
+    few = targets.where("coords is not null").groupBy("cloud_id").agg(F.collect_list(entry).alias("targets"))
+    rows = points.select("cloud_id", "point_id", "coords").where("coords is not null").join(few, "cloud_id")
+    near = F.transform("targets", lambda t: F.struct(distance("coords", t["at"]).alias("dist"), t["id"].alias("id")))
+    return rows.select("cloud_id", "point_id", F.slice(F.array_sort(near), 1, k).alias("neighbours"))
+
+
 def ranked(neighbours: DataFrame) -> DataFrame:
     """One row per neighbour: (cloud_id, point_id, rank from 1, target_id, dist)."""
     rows = neighbours.select("cloud_id", "point_id", F.posexplode("neighbours").alias("pos", "n"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topospark.functions import rotations as R
+from topospark.session import cut_lineage
 
 STRETCH = 512
 
@@ -41,8 +42,9 @@ def trajectory(steps: DataFrame) -> DataFrame:
         return run
 
     local = dealt.select("seq", "stretch", "frame", "step").groupBy("seq", "stretch").applyInPandas(prefix("frame"), f"seq {kind}, stretch bigint, frame int, step array<double>")
+    local = cut_lineage(local)  # read by the sums above it and by the last join
     whole = local.groupBy("seq", "stretch").agg(F.max_by("step", "frame").alias("step")).withColumn("level", F.floor(F.col("stretch") / STRETCH))
-    whole = whole.groupBy("seq", "level").applyInPandas(prefix("stretch"), f"seq {kind}, stretch bigint, step array<double>, level bigint")
+    whole = cut_lineage(whole.groupBy("seq", "level").applyInPandas(prefix("stretch"), f"seq {kind}, stretch bigint, step array<double>, level bigint"))
     above = whole.groupBy("seq", "level").agg(F.max_by("step", "stretch").alias("step"))
     above = above.withColumn("stretch", F.col("level")).groupBy("seq").applyInPandas(prefix("level"), f"seq {kind}, level bigint, step array<double>, stretch bigint")
     lead = above.select("seq", (F.col("level") + 1).alias("level"), F.col("step").alias("lead"))

@@ -95,7 +95,7 @@ def temporal_graph(points: DataFrame, m: int, k: int, seed: int) -> DataFrame:
     cloud = lambda frame: F.concat_ws("\1", F.col("seq").cast("string"), frame.cast("string"))
     now = some.select(cloud(F.col("frame")).alias("cloud_id"), "point_id", "coords")
     after = some.select(cloud(F.col("frame") - 1).alias("cloud_id"), "point_id", "coords")
-    edges = knn.ranked(knn.nearest(now, after, k, target_bound=m))
+    edges = knn.ranked(knn.nearest_of_few(now, after, k))
     parts = F.split("cloud_id", "\1")
     seq = parts.getItem(0).cast(points.schema["seq"].dataType)
     return edges.select(seq.alias("seq"), parts.getItem(1).cast("int").alias("frame"), F.col("point_id").alias("u"), F.col("target_id").alias("v"), "dist")

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from topospark.llm.topn import top_n_ranked
 
-TREES = 24
+TREES = 32
 DIRECTIONS = 16
 BITS = 4  # a direction; DIRECTIONS * BITS is the length of a string
-REACH = 96  # candidates to each side in each tree
+REACH = 192  # candidates to each side in each tree
 NEAR = {"trees": 12, "reach": 32}  # enough where only close neighbours count
 ROWS = 8192
 SEED = 20240101

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from topospark.llm.topn import top_n, top_n_ranked
 
-AXES = 4
+AXES = 8
 LEVELS = 48
 
 
@@ -29,7 +29,7 @@ def valid_points(points: DataFrame, clouds: DataFrame) -> DataFrame:
 def varied_subset(points: DataFrame, clouds: DataFrame) -> DataFrame:
     """``m`` points of each cloud (all, if it has fewer): columns cloud_id, point_id, cell, rank, position.
 
-    The attributes of the grid are the axes of widest spread (at most four) and the intensity.
+    The attributes of the grid are the axes of widest spread (at most eight) and the intensity.
     A ladder of grids adds one bin to one attribute at a time; each cloud takes the finest grid
     with no more than about ``m`` filled cells, so that every filled cell is served before any
     is served twice. Within a cell, points at a new place come before copies of a place, then

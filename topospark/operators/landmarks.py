@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topospark.functions.quantiles import quantiles
 from topospark.functions.vectors import draw, draw_key
 from topospark.operators import knn, prepare
 from topospark.session import cut_lineage
@@ -172,7 +173,8 @@ def sectors(points: DataFrame, sectors: int = 16, rings: int = 4) -> DataFrame:
     """Adds ``cell``, sector of the azimuth times rings plus ring of the range; ring edges are percentiles of the range."""
     x, y = F.element_at("coords", 1), F.element_at("coords", 2)
     rows = points.withColumn("range", F.sqrt(x * x + y * y))
-    edges = rows.groupBy("cloud_id").agg(F.percentile("range", F.array(*[F.lit(i / rings) for i in range(rings + 1)])).alias("edges"))
+    shares = {f"e{i}": i / rings for i in range(rings + 1)}
+    edges = quantiles(rows, "range", shares, ["cloud_id"]).select("cloud_id", F.array(*shares).alias("edges"))
     turn = F.floor((F.atan2(y, x) + math.pi) / (2 * math.pi / sectors)).cast("int")
     sector = F.greatest(F.lit(0), F.least(F.lit(sectors - 1), turn))
     passed = F.size(F.filter(F.slice("edges", 1, rings), lambda e: e <= F.col("range")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topospark.functions.quantiles import at_ranks, quantiles, with_slots
 from topospark.operators import knn, prepare
 
-SLOTS = 4096
 TOP = 10
 
 
@@ -21,16 +21,9 @@ def nearest_landmark(points: DataFrame, landmarks: DataFrame, landmark_bound: in
     return first_neighbour(knn.nearest(points, landmark_points(points, landmarks), 1, target_bound=landmark_bound))
 
 
-def _slots(values: DataFrame, value: str) -> DataFrame:
-    """Adds ``slot``, an order-preserving bin of a value within its cloud."""
-    span = values.groupBy("cloud_id").agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    unit = F.when(F.col("__high") > F.col("__low"), (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low"))).otherwise(F.lit(0.0))
-    return values.join(span, "cloud_id").withColumn("slot", F.least(F.lit(SLOTS - 1), F.floor(unit * SLOTS)).cast("int")).drop("__low", "__high")
-
-
 def rank_reaching(values: DataFrame, value: str, share: float) -> DataFrame:
     """``(cloud_id, rank)``: where the running sum of the sorted values first exceeds ``share``; sums by bin come first."""
-    rows = _slots(values.select("cloud_id", value), value)
+    rows = with_slots(values.select("cloud_id", value), value, ["cloud_id"])
     held = rows.groupBy("cloud_id", "slot").agg(F.sum(value).alias("held"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("cloud_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("sum_before", F.coalesce(F.sum("held").over(before), F.lit(0.0))).withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -41,17 +34,6 @@ def rank_reaching(values: DataFrame, value: str, share: float) -> DataFrame:
     return within.where(F.col("running") > share).groupBy("cloud_id").agg(F.min("rank").alias("rank"))
 
 
-def value_at_rank(values: DataFrame, value: str, ranks: DataFrame) -> DataFrame:
-    """``(cloud_id, value)``: the value at a rank (from 1) of each cloud; counts by bin come first."""
-    rows = _slots(values.select("cloud_id", value), value)
-    before = Window.partitionBy("cloud_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    held = rows.groupBy("cloud_id", "slot").agg(F.count(F.lit(1)).alias("n")).withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    bins = held.join(ranks, "cloud_id").where((F.col("n_before") < F.col("rank")) & (F.col("rank") <= F.col("n_before") + F.col("n")))
-    place = F.row_number().over(Window.partitionBy("cloud_id", "slot").orderBy(value))
-    within = rows.join(bins.drop("n"), ["cloud_id", "slot"]).withColumn("place", F.col("n_before") + place)
-    return within.where(F.col("place") == F.col("rank")).select("cloud_id", value)
-
-
 def first_neighbour(near: DataFrame) -> DataFrame:
     """The nearest landmark out of lists of nearest landmarks."""
     n = F.element_at("neighbours", 1)
@@ -69,13 +51,13 @@ def coverage(points: DataFrame, landmarks: DataFrame, radius: float, landmark_bo
     inside = F.col("dist") <= radius
     plain = rows.groupBy("cloud_id").agg(
         F.avg("dist").alias("coverage_mean"),
-        F.percentile("dist", 0.95).alias("coverage_p95"),
         F.sum(F.col("dist") * F.col("weight")).alias("coverage_weighted_mean"),
         F.avg(inside.cast("double")).alias("coverage_ratio"),
         F.sum(F.when(inside, F.col("weight")).otherwise(0.0)).alias("coverage_weighted_ratio"),
     )
-    ranked = value_at_rank(rows, "dist", rank_reaching(rows, "weight", 0.95)).withColumnRenamed("dist", "coverage_weighted_p95")
-    return plain.join(ranked, "cloud_id", "left")
+    ranked = at_ranks(rows, "dist", rank_reaching(rows, "weight", 0.95), ["cloud_id"]).select("cloud_id", F.col("dist").alias("coverage_weighted_p95"))
+    p95 = quantiles(rows, "dist", {"coverage_p95": 0.95}, ["cloud_id"])
+    return plain.join(p95, "cloud_id", "left").join(ranked, "cloud_id", "left")
 
 
 def landmark_intensity(points: DataFrame, landmarks: DataFrame) -> DataFrame:
@@ -95,10 +77,11 @@ def hausdorff(points: DataFrame, landmarks: DataFrame) -> DataFrame:
 def spread(points: DataFrame, landmarks: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Mean, standard deviation and 95th percentile of the distances, and the share of points that have one."""
     dist = first_neighbour(near) if near is not None else nearest_landmark(points, landmarks)
-    return dist.groupBy("cloud_id").agg(
+    plain = dist.groupBy("cloud_id").agg(
         F.avg("dist").alias("coverage_mean"), F.stddev_pop("dist").alias("coverage_std"),
-        F.percentile("dist", 0.95).alias("coverage_p95"), F.avg((F.col("dist") < float("inf")).cast("double")).alias("coverage_ratio"),
+        F.avg((F.col("dist") < float("inf")).cast("double")).alias("coverage_ratio"),
     )
+    return plain.join(quantiles(dist, "dist", {"coverage_p95": 0.95}, ["cloud_id"]), "cloud_id")
 
 
 def landmark_geometry(points: DataFrame, landmarks: DataFrame) -> DataFrame:
@@ -177,3 +160,12 @@ def feature_vector(points: DataFrame, landmarks: DataFrame, bars: DataFrame, k:
 def adaptive_radius(diameter: Column) -> Column:
     """Radius of coverage for a cloud of a diameter."""
     return F.when(diameter == 0, 0.05).otherwise(F.least(F.lit(0.2), 0.05 * diameter))
+
+
+def features_from_vector(vectors: DataFrame, vector: str = "vector") -> DataFrame:
+    """A feature vector's slots by name again: lifetimes of each dimension as bars born at 0, counts, coverage, geometry, witnesses, size."""
+    at = lambda i: F.element_at(vector, i + 1)
+    lives = [F.filter(F.slice(vector, 12 * d + 1, TOP), lambda x: x > 0).alias(f"h{d}_lifetimes") for d in range(3)]
+    names = ["betti_0", "betti_1", "betti_2", "coverage_mean", "coverage_std", "coverage_p95", "coverage_ratio", "density_mean", "density_std", "spacing_mean", "spacing_std", "witness_mean", "witness_std"]
+    others = [c for c in vectors.columns if c != vector]
+    return vectors.select(*others, *lives, *[at(36 + i).alias(n) for i, n in enumerate(names)], F.rint(F.pow(F.lit(10.0), at(49)) - 1).cast("bigint").alias("n_points"), at(50).cast("int").alias("n_landmarks"))

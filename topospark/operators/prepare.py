@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topospark.functions.quantiles import quantiles
 from topospark.functions.vectors import as_vector, distance, draw, draw_key
 
 
@@ -56,7 +57,7 @@ def soften_intensity(points: DataFrame, percentile: float) -> DataFrame:
     """Clips intensities to [0, percentile] of the cloud; unchanged for a percentile outside (0, 100) or a bound of 0 or less."""
     if not 0 < percentile < 100:
         return points
-    top = points.groupBy("cloud_id").agg(F.percentile("intensity", percentile / 100).alias("top"))
+    top = quantiles(points, "intensity", {"top": percentile / 100}, ["cloud_id"])
     clipped = F.greatest(F.lit(0.0), F.least("intensity", "top"))
     return points.join(top, "cloud_id").withColumn("intensity", F.when(F.col("top") > 0, clipped).otherwise(F.col("intensity"))).drop("top")
 
@@ -73,7 +74,7 @@ def intensity_mask(points: DataFrame, threshold: float | None = None, percentile
     """Points at or above a threshold, or else at or above a percentile of their cloud."""
     if threshold is not None:
         return points.where(F.col("intensity") >= threshold)
-    cut = points.groupBy("cloud_id").agg(F.percentile("intensity", percentile / 100).alias("cut"))
+    cut = quantiles(points, "intensity", {"cut": percentile / 100}, ["cloud_id"])
     return points.join(cut, "cloud_id").where(F.col("intensity") >= F.col("cut")).drop("cut")
 
 

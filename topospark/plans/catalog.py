@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from topospark.plans import clouds, complexes, drift, sequences
+from topospark.plans import clouds, complexes, descriptors, drift, sequences
 
-QUERIES = clouds.QUERIES | complexes.QUERIES | sequences.QUERIES | drift.QUERIES
-ORACLE_SQL = clouds.ORACLE_SQL | complexes.ORACLE_SQL | sequences.ORACLE_SQL | drift.ORACLE_SQL
+_PARTS = (clouds, complexes, sequences, descriptors, drift)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -9,6 +9,7 @@ from topospark.operators import landmarks, metrics, persistence, prepare, witnes
 from topospark.plans import pipeline, tables
 from topospark.plans.clouds import LANDMARKS_SQL, NEAR_SQL, SEED, M, r6
 from topospark.plans.tables import EMBEDDINGS_SQL
+from topospark.session import cut_lineage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -106,8 +107,8 @@ def tda_feature_vector(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def witness_summary(spark: SparkSession, folder: str) -> DataFrame:
-    pts = prepare.normalise_isotropic(tables.embeddings(spark, folder))
-    marks = landmarks.random(pts, M, SEED)
+    pts = cut_lineage(prepare.normalise_isotropic(tables.embeddings(spark, folder)))
+    marks = cut_lineage(landmarks.random(pts, M, SEED))
     bars = persistence.diagrams(witness.witness_complex(pts, marks, K, 1, landmark_bound=M))
     summary = metrics.summary(pts, marks, bars, 0.2, 1)
     return summary.select("cloud_id", F.explode("summary").alias("key", "value")).select("cloud_id", "key", r6("value"))

@@ -79,5 +79,40 @@ SELECT seq, frame, CAST(dim AS INTEGER) AS dim, chunk_no, CAST(pos_no AS INTEGER
 FROM places
 WHERE lifetime >= 0 AND lifetime < 'infinity'::FLOAT
 QUALIFY row_number() OVER (PARTITION BY seq, frame, dim ORDER BY lifetime DESC, chunk_no, pos_no) <= 10
+""",
+    "p3_found": """
+WITH pts AS (
+  SELECT point_id AS id, min(coords) AS v FROM cloud_points
+  WHERE point_id IS NOT NULL AND len(coords) = 24 AND len(list_filter(coords, lambda x: x IS NOT NULL AND isfinite(x))) = 24
+  GROUP BY point_id
+), near AS (
+  SELECT a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d FROM pts a JOIN pts b ON a.id <> b.id
+), ranked AS (
+  SELECT a, b, d FROM near WHERE d <= 1.0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(d * d, 9), b) <= 5
+)
+SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM ranked
+""",
+    "p4_found": """
+WITH RECURSIVE named AS (
+  SELECT seq, trim(seq) AS exact, seq AS raw, parent_seq, drive_id, operator_id FROM odometry_sequences WHERE seq IS NOT NULL
+), ids AS (
+  SELECT seq, kind, regexp_replace(regexp_replace(regexp_replace(lower(x), '\\s+', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[-_.]+', '', 'g') AS k
+  FROM (SELECT seq, 'd' AS kind, drive_id AS x FROM named UNION ALL SELECT seq, 'o', operator_id FROM named) WHERE x IS NOT NULL
+), scans AS (
+  SELECT DISTINCT seq, 's' AS kind, lower(trim(x)) AS k FROM (SELECT seq, scan_t AS x FROM frame_pairs UNION ALL SELECT seq, scan_t1 FROM frame_pairs)
+  WHERE x IS NOT NULL AND seq IS NOT NULL AND length(replace(lower(trim(x)), left(lower(trim(x)), 1), '')) > 0
+), keys AS (
+  SELECT DISTINCT seq, kind, k FROM (SELECT * FROM ids UNION ALL SELECT * FROM scans)
+  WHERE regexp_matches(k, '[a-z0-9]') AND k NOT IN ('', 'na', 'n/a', 'none', 'null', 'nil', 'nan', 'unknown', 'unk', 'tbd', '?', 'undefined', 'missing', 'x')
+), known AS (
+  SELECT DISTINCT seq FROM named UNION SELECT DISTINCT seq FROM frame_pairs WHERE seq IS NOT NULL
+), links AS (
+  SELECT a.seq AS a, b.seq AS b FROM keys a JOIN keys b ON a.kind = b.kind AND a.k = b.k AND a.seq <> b.seq
+  UNION SELECT n.seq, k.seq FROM named n JOIN known k ON trim(n.parent_seq) = k.seq AND n.seq <> k.seq
+  UNION SELECT k.seq, n.seq FROM named n JOIN known k ON trim(n.parent_seq) = k.seq AND n.seq <> k.seq
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT DISTINCT a AS seq_a, b AS seq_b FROM reach WHERE a < b
 """,
 }

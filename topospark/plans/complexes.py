@@ -52,9 +52,9 @@ def witness_triangles(spark: SparkSession, folder: str) -> DataFrame:
     return _complex(spark, folder).where("dim = 2").select("cloud_id", "v0", "v1", "v2", r6("filtration"))
 
 
-@query(f"{EDGES_SQL} SELECT cloud_id, v0, v1, round(f, 6) AS filtration FROM edges WHERE f <= 1.0")
+@query(f"{EDGES_SQL} SELECT cloud_id, v0, v1, round(f, 6) AS filtration FROM edges WHERE f <= 1.3")
 def witness_filtration_cut(spark: SparkSession, folder: str) -> DataFrame:
-    return _complex(spark, folder, max_dim=1, max_filtration=1.0).where("dim = 1").select("cloud_id", "v0", "v1", r6("filtration"))
+    return _complex(spark, folder, max_dim=1, max_filtration=1.3).where("dim = 1").select("cloud_id", "v0", "v1", r6("filtration"))
 
 
 @query(f"""{EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, ranked AS (SELECT cloud_id, point_id, rank FROM lm),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from topospark.functions.quantiles import quantiles
 from topospark.functions.vectors import as_vector, distance, draw, draw_key
+from topospark.session import cut_lineage
 
 
 def embeddings_to_cloud(df: DataFrame, cloud: str, point: str, vector: str, weight: str | None = None) -> DataFrame:
@@ -152,5 +153,6 @@ def voxels_to_world(voxels: DataFrame, affine: list[list[float]]) -> DataFrame:
 
 def volume_to_cloud(voxels: DataFrame, affine: list[list[float]], percentile: float, max_points: int, seed: int, threshold: float | None = None) -> DataFrame:
     """A volume as a cloud: masked, placed in the world, each axis to [0, 1], sampled by intensity, shifted above 0."""
-    cloud = intensity_mask(voxels_to_world(voxels, affine), threshold, percentile)
-    return shift_intensity(weighted_sample(normalise_minmax(cloud), max_points, seed))
+    placed = cut_lineage(voxels_to_world(voxels, affine))  # each step reads its input several times
+    cloud = cut_lineage(intensity_mask(placed, threshold, percentile))
+    return shift_intensity(cut_lineage(weighted_sample(normalise_minmax(cloud), max_points, seed)))

@@ -23,6 +23,7 @@ def run(points: DataFrame, methods: list[str], m: int, dim: int, k: int, max_dim
     Every step handles all clouds at once; the methods are parts of one plan. Bottleneck
     distances to a Vietoris-Rips reference of ``rips_points`` sampled points are null without one.
     """
+    points = cut_lineage(points)  # read by every method and metric
     box = prepare.bounds(points).select("cloud_id", "diameter", F.col("n").alias("total_points"))
     reference = None
     if rips_points:
@@ -54,7 +55,7 @@ def volume_run(voxels: DataFrame, affine: list[list[float]], methods: list[str],
     p = PRESETS[preset]
     points = prepare.volume_to_cloud(voxels, affine, p["mask"], max_points, seed)
     if p["softclip"]:
-        points = prepare.soften_intensity(points, p["softclip"])
+        points = cut_lineage(prepare.soften_intensity(points, p["softclip"]))
     if p["thin"]:
         points = prepare.thin(points, p["thin"], seed + 101)
     return run(points, methods, m, 3, p["k"], p["max_dim"], radius, seed, p["rips_points"])
@@ -63,7 +64,7 @@ def volume_run(voxels: DataFrame, affine: list[list[float]], methods: list[str],
 def embedding_summaries(points: DataFrame, mode: str, method: str, dim: int, seed: int, radius: float | None = None) -> DataFrame:
     """Summaries of clouds of embeddings under a mode; the radius defaults to that of a normalised cloud's diameter, 1."""
     p = MODES[mode]
-    cloud = prepare.normalise_isotropic(points)
+    cloud = cut_lineage(prepare.normalise_isotropic(points))
     marks = cut_lineage(landmarks.select(cloud, method, p["m"], seed, dim))
     bars = persistence.diagrams(witness.witness_complex(cloud, marks, min(p["k"], p["m"]), p["max_dim"], landmark_bound=p["m"]))
     return metrics.summary(cloud, marks, bars, 0.05 if radius is None else radius, p["max_dim"])

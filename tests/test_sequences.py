@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from topospark.functions import rotations as R
+from topospark.functions import stretches
 from topospark.operators import graph, models, odometry, temporal
+from topospark.plans import pipeline
 from topospark.streaming import scores
 
 
@@ -20,6 +22,41 @@ def test_sheaf_scores_start_at_zero_and_stay_bounded(spark):
     assert all(np.isfinite(r.sheaf_score) and 0 <= r.sheaf_score <= 2 for r in rows)
 
 
+def test_stretches_change_no_window(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [("hot" if i % 3 else None, None if i % 29 == 0 else int(rng.integers(0, 12)) ** 2, i, rng.standard_normal(3).tolist()) for i in range(120)]
+    data += [("same", 5, i, rng.standard_normal(3).tolist()) for i in range(200, 209)] + [("one", 1, 300, [1.0, 2.0, 3.0])]
+    rows = spark.createDataFrame(data, "seq string, ts int, event_id int, vec array<double>")
+    order = ["ts", "event_id"]
+
+    def results():
+        out = temporal.variance_and_snr(temporal.cosine_score(temporal.sheaf_score(rows, order), order), order, 3)
+        out = temporal.fallback(temporal.topological_signal(out, (1, 1), (2, 1)), order)
+        return {r.event_id: r.asDict() for r in out.drop("vec").collect()}
+
+    whole = results()
+    monkeypatch.setattr(stretches, "STRETCH", 2)
+    parts = results()
+    assert whole.keys() == parts.keys() and len(parts) == len(data)
+    for k, row in whole.items():
+        assert row.keys() == parts[k].keys()
+        for c, v in row.items():
+            assert parts[k][c] == (pytest.approx(v, abs=1e-6) if isinstance(v, float) else v), (k, c)
+
+
+def test_pairs_and_poses_over_many_stretches(spark, monkeypatch):
+    frames = [f for f in range(60) if f % 7]
+    eye = [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]
+    poses = spark.createDataFrame([("s", f, [float(x) for x in (*eye[:3], f, *eye[4:])]) for f in frames], "seq string, frame int, pose array<double>")
+    for limit in (1 << 20, 4):
+        monkeypatch.setattr(stretches, "STRETCH", limit)
+        pairs = sorted((r.frame_t, r.frame_t1) for r in pipeline.pair_index(poses, 3).collect())
+        assert pairs == [(a, b) for i, (a, b) in enumerate(zip(frames, frames[3:])) if i % 3 == 0]
+        steps = sorted((r.frame, r.translation[0]) for r in odometry.relative_poses(poses, 2).collect())
+        assert steps == [(a, float(b - a)) for a, b in zip(frames, frames[2:])]
+        assert odometry.relative_error(poses, poses, 2).first().rpe_translation == 0.0
+
+
 def test_trajectory_over_many_stretches(spark, monkeypatch):
     monkeypatch.setattr(odometry, "STRETCH", 4)
     rng = np.random.default_rng(1)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topospark.functions import rotations as R
+from topospark.functions.stretches import looking_back
 from topospark.session import cut_lineage
 
 STRETCH = 512
@@ -14,10 +15,11 @@ STRETCH = 512
 
 def relative_poses(poses: DataFrame, stride: int = 1) -> DataFrame:
     """``(seq, frame, translation, quaternion)`` from each pose of ``(seq, frame, pose)`` to the one ``stride`` rows on."""
-    w = Window.partitionBy("seq").orderBy("frame")
-    rows = poses.withColumn("after", F.lead("pose", stride).over(w)).where("after is not null")
+    rows = poses.select("seq", "frame", F.col("pose").alias("after"))
+    back = lambda rows, w: rows.withColumn("from", F.lag("frame", stride).over(w)).withColumn("pose", F.lag("after", stride).over(w))
+    rows = looking_back(rows, "seq", ["frame"], stride, back).where("pose is not null and after is not null")
     step = rows.withColumn("step", R.multiply_poses(R.inverse_pose(F.col("pose")), F.col("after")))
-    return step.select("seq", "frame", R.translation_of(F.col("step")).alias("translation"), R.matrix_to_quaternion(R.rotation_of(F.col("step"))).alias("quaternion"))
+    return step.select("seq", F.col("from").alias("frame"), R.translation_of(F.col("step")).alias("translation"), R.matrix_to_quaternion(R.rotation_of(F.col("step"))).alias("quaternion"))
 
 
 def trajectory(steps: DataFrame) -> DataFrame:
@@ -63,9 +65,9 @@ def absolute_error(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 def relative_error(predicted: DataFrame, truth: DataFrame, delta: int = 1) -> DataFrame:
     """``(seq, rpe_translation, rpe_rotation)``: root mean square error of the motion over ``delta`` frames, rotation in degrees."""
-    rows = predicted.select("seq", "frame", F.col("pose").alias("p")).join(truth.select("seq", "frame", F.col("pose").alias("g")), ["seq", "frame"])
-    w = Window.partitionBy("seq").orderBy("frame")
-    rows = rows.withColumn("p2", F.lead("p", delta).over(w)).withColumn("g2", F.lead("g", delta).over(w)).where("p2 is not null")
+    rows = predicted.select("seq", "frame", F.col("pose").alias("p2")).join(truth.select("seq", "frame", F.col("pose").alias("g2")), ["seq", "frame"])
+    back = lambda rows, w: rows.withColumn("p", F.lag("p2", delta).over(w)).withColumn("g", F.lag("g2", delta).over(w))
+    rows = looking_back(rows, "seq", ["frame"], delta, back).where("p is not null and p2 is not null")
     rows = rows.withColumn("moved", R.multiply_poses(R.inverse_pose(F.col("p")), F.col("p2"))).withColumn("meant", R.multiply_poses(R.inverse_pose(F.col("g")), F.col("g2")))
     rows = rows.withColumn("error", R.multiply_poses(R.inverse_pose(F.col("meant")), F.col("moved")))
     shift = F.aggregate(F.transform(R.translation_of(F.col("error")), lambda x: x * x), F.lit(0.0), lambda s, x: s + x)

@@ -1,14 +1,16 @@
 """Scores along a sequence of descriptors, and graphs between frames.
 
-A sequence is rows ``(seq, <order columns>, vec array<double>)``. Windows are frames of fixed
-length by sequence; they sort within the sequence and hold one frame of rows in memory.
+A sequence is rows ``(seq, <order columns>, vec array<double>)``; the first order column is a
+number or a time. Windows are frames of fixed length by sequence, or by stretch of a sequence
+too long for one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from topospark.functions.stretches import looking_back, running_sum
 from topospark.functions.vectors import combine, dot, draw_key, norm
 from topospark.operators import knn
 
@@ -28,16 +30,18 @@ def _pair_score(before: Column, now: Column, alpha: float) -> Column:
 
 def sheaf_score(rows: DataFrame, order: list[str], window: int = 5, alpha: float = 0.8) -> DataFrame:
     """Adds ``sheaf_score``: the mean pair score over the last ``window`` descriptors, 0 at the first."""
-    w = Window.partitionBy("seq").orderBy(*order)
-    paired = rows.withColumn("__u", unit(F.col("vec"))).withColumn("__p", F.lag("__u").over(w))
-    scored = paired.withColumn("__s", F.when(F.col("__p").isNotNull(), _pair_score(F.col("__p"), F.col("__u"), alpha)))
-    return scored.withColumn("sheaf_score", F.coalesce(F.avg("__s").over(w.rowsBetween(-(window - 2), 0)), F.lit(0.0))).drop("__u", "__p", "__s")
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        paired = rows.withColumn("__u", unit(F.col("vec"))).withColumn("__p", F.lag("__u").over(w))
+        scored = paired.withColumn("__s", F.when(F.col("__p").isNotNull(), _pair_score(F.col("__p"), F.col("__u"), alpha)))
+        return scored.withColumn("sheaf_score", F.coalesce(F.avg("__s").over(w.rowsBetween(-(window - 2), 0)), F.lit(0.0))).drop("__u", "__p", "__s")
+
+    return looking_back(rows, "seq", order, window - 1, add)
 
 
 def cosine_score(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``cosine_score``: one less the cosine to the descriptor before, 0 at the first."""
-    w = Window.partitionBy("seq").orderBy(*order)
-    before = rows.withColumn("__p", F.lag("vec").over(w))
+    before = looking_back(rows, "seq", order, 1, lambda rows, w: rows.withColumn("__p", F.lag("vec").over(w)))
     cosine = dot("__p", "vec") / (norm("__p") * norm("vec") + 1e-12)
     score = F.when(F.col("__p").isNotNull(), 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))).otherwise(0.0)
     return before.withColumn("cosine_score", score).drop("__p")
@@ -48,15 +52,18 @@ def variance_and_snr(rows: DataFrame, order: list[str], dim: int, window: int =
 
     The window holds the last ``window`` descriptors; at the first both are 0.
     """
-    w = Window.partitionBy("seq").orderBy(*order)
-    last, steps = w.rowsBetween(-(window - 1), 0), w.rowsBetween(-(window - 2), 0)
     axes = range(1, dim + 1)
-    rows = rows.withColumn("__n", F.count(F.lit(1)).over(last)).withColumn("__p", F.lag("vec").over(w))
-    for i in axes:
-        rows = rows.withColumn(f"__d{i}", F.abs(F.element_at("vec", i) - F.element_at("__p", i)))
-    deviation = sum((F.stddev_pop(F.element_at("vec", i)).over(last) for i in axes), F.lit(0.0)) / dim
-    step = sum((F.avg(f"__d{i}").over(steps) for i in axes), F.lit(0.0)) / dim
-    rows = rows.withColumn("__s", deviation).withColumn("__t", step)
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        last, steps = w.rowsBetween(-(window - 1), 0), w.rowsBetween(-(window - 2), 0)
+        rows = rows.withColumn("__n", F.count(F.lit(1)).over(last)).withColumn("__p", F.lag("vec").over(w))
+        for i in axes:
+            rows = rows.withColumn(f"__d{i}", F.abs(F.element_at("vec", i) - F.element_at("__p", i)))
+        deviation = sum((F.stddev_pop(F.element_at("vec", i)).over(last) for i in axes), F.lit(0.0)) / dim
+        step = sum((F.avg(f"__d{i}").over(steps) for i in axes), F.lit(0.0)) / dim
+        return rows.withColumn("__s", deviation).withColumn("__t", step)
+
+    rows = looking_back(rows, "seq", order, window - 1, add)
     rows = rows.withColumn("variance_score", F.when(F.col("__n") > 1, F.col("__s")).otherwise(0.0))
     snr = F.log10(F.col("__s") / (F.col("__t") + 1e-12) + 1e-12)
     return rows.withColumn("snr_score", F.when(F.col("__n") > 1, snr).otherwise(0.0)).drop("__n", "__p", "__s", "__t", *[f"__d{i}" for i in axes])
@@ -80,9 +87,8 @@ def topological_signal(rows: DataFrame, h1: tuple[int, int] = (12, 10), h2: tupl
 def fallback(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``used_teacher`` (the descriptor is too weak or too inconsistent) and how often that was so in the sequence."""
     weak = (F.col("topo_density") < 0.002) | (F.col("sheaf_score") > 0.25) | (norm("vec") < 0.5)
-    w = Window.partitionBy("seq").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     flagged = rows.withColumn("used_teacher", F.coalesce(weak, F.lit(False)).cast("int"))
-    return flagged.withColumn("fallback_count", F.sum("used_teacher").over(w))
+    return running_sum(flagged, "seq", order, "used_teacher", "fallback_count")
 
 
 def temporal_graph(points: DataFrame, m: int, k: int, seed: int) -> DataFrame:

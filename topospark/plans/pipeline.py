@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topospark.functions.stretches import looking_back, running_sum
 from topospark.operators import knn, landmarks, metrics, persistence, prepare, witness
 from topospark.session import cut_lineage
 
@@ -72,7 +73,7 @@ def embedding_summaries(points: DataFrame, mode: str, method: str, dim: int, see
 
 def pair_index(frames: DataFrame, stride: int = 1) -> DataFrame:
     """Pairs ``(seq, frame_t, frame_t1)`` of every ``stride``-th frame and the one ``stride`` frames on."""
-    after: Column = F.lead("frame", stride).over(Window.partitionBy("seq").orderBy("frame"))
-    place = F.row_number().over(Window.partitionBy("seq").orderBy("frame")) - 1
-    rows = frames.select("seq", "frame", after.alias("frame_t1"), place.alias("place"))
-    return rows.where((F.col("place") % stride == 0) & F.col("frame_t1").isNotNull()).select("seq", F.col("frame").alias("frame_t"), "frame_t1")
+    numbered = running_sum(frames.select("seq", "frame").withColumn("__one", F.lit(1)), "seq", ["frame"], "__one", "place")
+    back = lambda rows, w: rows.withColumn("frame_t", F.lag("frame", stride).over(w)).withColumn("from", F.lag("place", stride).over(w) - 1)
+    rows = looking_back(numbered, "seq", ["frame"], stride, back)
+    return rows.where((F.col("from") % stride == 0) & F.col("frame").isNotNull()).select("seq", "frame_t", F.col("frame").alias("frame_t1"))

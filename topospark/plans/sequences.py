@@ -152,7 +152,22 @@ def quat_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return steps.select("seq", "frame", *[(F.round(F.element_at("p", i + 1) * sign, 6) + 0.0).alias(c) for i, c in enumerate("wxyz")])
 
 
-@query()
+WALK_SQL = "RECURSIVE " + UNIT_SQL + """, placed AS (
+  SELECT seq, frame, row_number() OVER (PARTITION BY seq ORDER BY frame) AS nr, t[1] AS a, t[2] AS b, t[3] AS c, w, x, y, z,
+    sum(t[1]) OVER (PARTITION BY seq ORDER BY frame) AS sa, sum(t[2]) OVER (PARTITION BY seq ORDER BY frame) AS sb, sum(t[3]) OVER (PARTITION BY seq ORDER BY frame) AS sc FROM unit),
+walk AS (
+  SELECT seq, frame, nr, a AS px, b AS py, c AS pz, w, x, y, z, sa, sb, sc FROM placed WHERE nr = 1
+  UNION ALL
+  SELECT p.seq, p.frame, p.nr,
+    o.px + p.a + 2 * (o.w * (o.y * p.c - o.z * p.b) + o.y * (o.x * p.b - o.y * p.a) - o.z * (o.z * p.a - o.x * p.c)),
+    o.py + p.b + 2 * (o.w * (o.z * p.a - o.x * p.c) + o.z * (o.y * p.c - o.z * p.b) - o.x * (o.x * p.b - o.y * p.a)),
+    o.pz + p.c + 2 * (o.w * (o.x * p.b - o.y * p.a) + o.x * (o.z * p.a - o.x * p.c) - o.y * (o.y * p.c - o.z * p.b)),
+    o.w * p.w - o.x * p.x - o.y * p.y - o.z * p.z, o.w * p.x + o.x * p.w + o.y * p.z - o.z * p.y,
+    o.w * p.y - o.x * p.z + o.y * p.w + o.z * p.x, o.w * p.z + o.x * p.y - o.y * p.x + o.z * p.w, p.sa, p.sb, p.sc
+  FROM walk o JOIN placed p ON p.seq = o.seq AND p.nr = o.nr + 1)"""
+
+
+@query(f"WITH {WALK_SQL} SELECT seq, frame, round(px, 4) + 0 AS x, round(py, 4) + 0 AS y, round(pz, 4) + 0 AS z FROM walk")
 def trajectory(spark: SparkSession, folder: str) -> DataFrame:
     rows = odometry.trajectory(_poses(spark, folder))
     return rows.select("seq", "frame", *[(F.round(F.element_at("pose", 4 * i + 4), 4) + 0.0).alias(c) for i, c in enumerate("xyz")])
@@ -183,7 +198,7 @@ def _straight(spark: SparkSession, folder: str) -> DataFrame:
     return odometry.trajectory(steps.select("seq", "frame", R.pose(identity, F.col("t")).alias("step")))
 
 
-@query()
+@query(f"WITH {WALK_SQL} SELECT seq, round(sqrt(avg(pow(px - sa, 2) + pow(py - sb, 2) + pow(pz - sc, 2))), 4) AS ate FROM walk GROUP BY seq")
 def ate(spark: SparkSession, folder: str) -> DataFrame:
     found = odometry.absolute_error(_straight(spark, folder), odometry.trajectory(_poses(spark, folder)))
     return found.select("seq", F.round("ate", 4).alias("ate"))

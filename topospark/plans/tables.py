@@ -41,9 +41,13 @@ EVENTS_SQL = f"pts AS (SELECT user_id AS cloud_id, event_id AS point_id, {_EVENT
 
 def sequences(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a user as a sequence of descriptors."""
+    return as_sequences(read(spark, folder, "events"))
+
+
+def as_sequences(events: DataFrame) -> DataFrame:
+    """The descriptors of events, given whole or as a stream."""
     seconds, value, k = _event_columns()
-    df = read(spark, folder, "events")
-    return df.select(F.col("user_id").alias("seq"), "ts", "event_id", F.array(seconds / 86400, value / 100, k / 10).alias("vec"))
+    return events.select(F.col("user_id").alias("seq"), "ts", "event_id", F.array(seconds / 86400, value / 100, k / 10).alias("vec"))
 
 
 SEQUENCES_SQL = """seqs AS (

@@ -63,7 +63,8 @@ class SheafProcessor(StatefulProcessor):
 def sheaf_stream(stream: DataFrame, window: int = 5, alpha: float = 0.8, threshold: float = 0.25) -> DataFrame:
     """Scores of a stream ``(seq, ts, event_id, vec)`` as the batch operator gives them.
 
-    State is at most ``window`` vectors a sequence. Rows of a batch are put in order; rows that
+    State is at most ``window`` vectors a sequence. The rows of a sequence within one batch are put
+    in order in one task; ``maxBytesPerTrigger`` of the source bounds a batch. Rows of a batch are put in order; rows that
     come after a later one of their sequence was scored are scored where they arrive.
     """
     kind = lambda c: stream.schema[c].dataType.simpleString()

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from topospark.operators import knn, landmarks, prepare
+from topospark.functions.quantiles import quantiles
+from topospark.operators import knn, landmarks, metrics, prepare
 from topospark.plans import pipeline
 from topospark.sources import generators
 
@@ -93,3 +94,16 @@ def test_sampling_keeps_whole_rows_and_bounds(spark):
     assert prepare.pad_or_sample(pts.where("point_id < 3"), 8, 1).count() == 8
     with pytest.raises(Exception, match="200 needed"):
         prepare.require_points(pts, 200).collect()
+
+
+def test_ranks_among_many_equal_values(spark):
+    rng = np.random.default_rng(5)
+    values = {"even": np.full(1000, 1e-3), "tied": rng.integers(0, 4, 999).astype(float), "free": rng.random(500) ** 3, "few": np.array([2.0])}
+    values = {c: v / v.sum() for c, v in values.items()}
+    df = spark.createDataFrame([(c, float(x)) for c, v in values.items() for x in v], "cloud_id string, weight double")
+    ranks = {r.cloud_id: r["rank"] for r in metrics.rank_reaching(df, "weight", 0.95).collect()}
+    shares = {"low": 0.0, "mid": 0.37, "high": 0.95, "top": 1.0}
+    found = {r.cloud_id: r for r in quantiles(df, "weight", shares, ["cloud_id"]).collect()}
+    for c, v in values.items():
+        assert ranks[c] == int(np.argmax(np.round(np.cumsum(np.sort(v)), 12) > 0.95)) + 1
+        assert all(abs(found[c][n] - np.quantile(v, p)) < 1e-12 for n, p in shares.items())

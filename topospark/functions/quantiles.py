@@ -22,9 +22,11 @@ def at_ranks(values: DataFrame, value: str, ranks: DataFrame, keys: list[str]) -
     held = rows.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("n")).withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     wanted = held.join(ranks, keys).where((F.col("n_before") < F.col("rank")) & (F.col("rank") <= F.col("n_before") + F.col("n"))).drop("n")
     bins = wanted.select(*keys, "slot", "n_before").distinct()
-    place = F.row_number().over(Window.partitionBy(*keys, "slot").orderBy(value))
-    ranked = rows.join(bins, [*keys, "slot"]).withColumn("rank", (F.col("n_before") + place).cast("bigint")).select(*keys, "rank", value)
-    return wanted.drop("slot", "n_before").withColumn("rank", F.col("rank").cast("bigint")).join(ranked, [*keys, "rank"])
+    # equal values are one row, however many there are
+    alike = rows.join(bins, [*keys, "slot"]).groupBy(*keys, "slot", "n_before", value).agg(F.count(F.lit(1)).alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(*keys, "slot").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held_to = alike.withColumn("last", F.col("n_before") + up_to).select(*keys, "slot", value, (F.col("last") - F.col("n")).alias("before"), "last")
+    return wanted.drop("n_before").join(held_to, [*keys, "slot"]).where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("last"))).drop("slot", "before", "last")
 
 
 def quantiles(values: DataFrame, value: str, shares: dict[str, float], keys: list[str]) -> DataFrame:

@@ -146,11 +146,11 @@ def sparse_cells(points: DataFrame, m: int, alpha: float = 0.7, seed: int = 42)
     rows = spatial_hash(points.join(box.select("cloud_id", width.alias("width")), "cloud_id"), F.col("width")).drop("width")
     key = F.struct(draw_key("point_id", seed), "point_id")
     cells = rows.groupBy("cloud_id", "cell").agg(F.count(F.lit(1)).alias("held"), F.min_by("point_id", key).alias("point_id"))
-    w = Window.partitionBy("cloud_id")
-    weight = alpha * (1 - F.col("held") / F.max("held").over(w)) + (1 - alpha) / F.count(F.lit(1)).over(w)
+    every = cells.groupBy("cloud_id").agg(F.max("held").alias("most"), F.count(F.lit(1)).alias("cells"))
+    weight = alpha * (1 - F.col("held") / F.col("most")) + (1 - alpha) / F.col("cells")
     order = F.round(-F.ln(draw("cell", seed + 1)) / F.round(weight, 12), DIGITS)
-    drawn = F.row_number().over(w.orderBy(order, "cell"))
-    picks = cells.withColumn("order", drawn).where(F.col("order") <= m)
+    drawn = F.row_number().over(Window.partitionBy("cloud_id").orderBy(order, "cell"))
+    picks = cells.join(every, "cloud_id").withColumn("order", drawn).where(F.col("order") <= m)
     return _fill(rows, picks.select("cloud_id", "point_id", "order"), m, seed + 2)
 
 

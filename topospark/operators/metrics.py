@@ -27,11 +27,16 @@ def rank_reaching(values: DataFrame, value: str, share: float) -> DataFrame:
     held = rows.groupBy("cloud_id", "slot").agg(F.sum(value).alias("held"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("cloud_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("sum_before", F.coalesce(F.sum("held").over(before), F.lit(0.0))).withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    crossing = held.where((F.col("sum_before") <= share) & (F.col("sum_before") + F.col("held") > share))
-    inside = Window.partitionBy("cloud_id", "slot").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = rows.join(crossing.drop("held", "n"), ["cloud_id", "slot"])
-    within = within.withColumn("running", F.round(F.col("sum_before") + F.sum(value).over(inside), 12)).withColumn("rank", F.col("n_before") + F.row_number().over(inside.orderBy(value)))
-    return within.where(F.col("running") > share).groupBy("cloud_id").agg(F.min("rank").alias("rank"))
+    crossing = held.where((F.round("sum_before", 12) <= share) & (F.round(F.col("sum_before") + F.col("held"), 12) > share))
+    # equal values are one row; of n of them the first that carries the sum over the share is found by division
+    alike = rows.join(crossing.drop("held", "n"), ["cloud_id", "slot"]).groupBy("cloud_id", "slot", "sum_before", "n_before", value).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("cloud_id", "slot").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    part = F.coalesce(F.sum(F.col("n") * F.col(value)).over(earlier), F.lit(0.0))
+    alike = alike.withColumn("base", F.col("sum_before") + part).withColumn("place", F.col("n_before") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    about = F.when(F.col(value) > 0, F.floor((share - F.col("base")) / F.col(value))).otherwise(F.lit(0))
+    low = F.greatest(F.lit(1), F.least(about, F.col("n")))
+    past = F.filter(F.sequence(low, F.least(F.col("n"), low + 2)), lambda j: F.round(F.col("base") + j * F.col(value), 12) > share)
+    return alike.withColumn("j", F.get(past, 0)).where("j is not null").groupBy("cloud_id").agg(F.min(F.col("place") + F.col("j")).alias("rank"))
 
 
 def first_neighbour(near: DataFrame) -> DataFrame:

@@ -87,3 +87,13 @@ def test_unified_table(spark):
     assert by[2, 2]["mean"] == 0.345678 and by[2, 2].b1 == 3.0 and by[2, 2].other == {"note": "hi"}
     assert by[2, 3]["mean"] == 0.4 and by[2, 3].b1 is None
     assert by[None, None]["mean"] is None and by[None, None].b1 == 1.5 and by[None, None].origin == "t"
+
+
+def test_columns_named_like_the_operator_s_own(spark):
+    files, lines = tables(spark, {1: A, 2: ["seed,average,b1", *A[2:]]})
+    own = ["before", "place", "first_no", "header", "state", "was", "run", "known", "token", "type"]
+    for name in own:
+        files = files.selectExpr("*", f"'x' as {name}")
+        lines = lines.selectExpr("*", f"cast(null as string) as {name}")
+    files = files.union(files.where("file_id = 2"))  # a file's row repeated
+    assert {tuple(r) for r in drift.changes(files, lines).collect()} == {(2, "average", "renamed")}

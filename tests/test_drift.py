@@ -97,3 +97,16 @@ def test_columns_named_like_the_operator_s_own(spark):
         lines = lines.selectExpr("*", f"cast(null as string) as {name}")
     files = files.union(files.where("file_id = 2"))  # a file's row repeated
     assert {tuple(r) for r in drift.changes(files, lines).collect()} == {(2, "average", "renamed")}
+
+
+def test_decorated_numbers_of_loaded_tables_and_unreadable_values(spark):
+    contents = {1: ["seed,mean,b1", "17,87.903%,1.5", "34,0.5,broken", "51,0.6,1.2 of 3.4 or 5", "68,0.7,0.25..0.75"]}
+    row = [(1, datetime(2024, 1, 1), 3.0, "25%", "~1.765"), (2, datetime(2024, 1, 1), 4.0, "nan", "broken"), (3, datetime(2024, 1, 1), 5.0, None, "2..4")]
+    loaded = {"t": spark.createDataFrame(row, "run_id bigint, run_at timestamp, seed double, mean string, b1 string")}
+    rows = drift.unify(*tables(spark, contents), loaded).collect()
+    by = {(r.file_id, r.line_no, r.run_id): (r["mean"], r.b1, r.other or {}) for r in rows}
+    assert by == {
+        (1, 2, None): (0.87903, 1.5, {}), (1, 3, None): (0.5, None, {"b1": "broken"}), (1, 4, None): (0.6, None, {"b1": "1.2 of 3.4 or 5"}),
+        (1, 5, None): (0.7, 0.5, {}),
+        (None, None, 1): (0.25, 1.765, {}), (None, None, 2): (None, None, {"b1": "broken"}), (None, None, 3): (None, 3.0, {}),
+    }

@@ -12,6 +12,7 @@ import csv
 import json
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -30,6 +31,7 @@ AGREE = 0.8
 _INTEGER = re.compile(r"[+-]?\d+")
 _NUMBER = re.compile(r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|inf|infinity)", re.IGNORECASE)
 _INSIDE = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
+_PERCENT = re.compile(r"\d\.?\s*%")
 _ABSENT = {"", "null", "na", "nan"}
 
 CELLS = "file_id bigint, line_no int, field string, value string, kind int, low double, high double, token string"
@@ -43,7 +45,8 @@ def _bare(text: str) -> str:
 def read_cell(value: str | None) -> tuple:
     """``(value, kind, low, high, token)`` of a raw value; all null if it is absent.
 
-    ``low`` and ``high`` enclose the number in it (a text may decorate a number, or give a range);
+    ``low`` and ``high`` enclose the number in it (a text may decorate a number, or give a range;
+    with a percent sign it counts hundredths);
     ``token`` is equal for equal values in any number format of at least five decimals.
     """
     text = None if value is None else _bare(value)
@@ -53,11 +56,12 @@ def read_cell(value: str | None) -> tuple:
         number = float(text)
         kind = INTEGER if _INTEGER.fullmatch(text) else NUMBER
         return text, kind, number, number, repr(round(number, 5) + 0.0)
-    numbers = [float(x) for x in _INSIDE.findall(text)]
+    places = -2 if _PERCENT.search(text) else 0
+    numbers = [float(Decimal(x).scaleb(places)) for x in _INSIDE.findall(text.replace("..", " "))]
     if len(numbers) == 1:
         return text, TEXT, numbers[0], numbers[0], repr(round(numbers[0], 5) + 0.0)
     if len(numbers) == 2 and re.fullmatch(r"[^\d]*[\d.eE+-]+\s*(?:\.\.|–|to|:)\s*[\d.eE+-]+[^\d]*", text):
-        pair = sorted(abs(x) for x in (float(y) for y in _INSIDE.findall(text.replace("..", " "))))
+        pair = sorted(abs(x) for x in numbers)
         return text, TEXT, pair[0], pair[-1], text.lower()
     return text, TEXT, None, None, text.lower()
 
@@ -299,14 +303,36 @@ def standard_names(columns: DataFrame, standard: list[str]) -> DataFrame:
     return traced.join(usual, "own", "left").select("file_id", "field", F.coalesce("name", "usual").alias("name"))
 
 
+def read_loaded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text columns of a loaded table as the numbers that ``read_cell`` finds in them, what has none in the map ``other``."""
+    kept = [f for f in df.schema.fields if f.name not in columns]
+    plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    schema = ", ".join([*plain, *[f"`{c}` double" for c in columns], "other map<string, string>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, others = [], [[] for _ in range(batch.num_rows)]
+            for c in columns:
+                found = [read_cell(v) for v in batch.column(c).to_pylist()]
+                numbers.append(pa.array([None if low is None else (low + high) / 2 for _, _, low, high, _ in found], pa.float64()))
+                for held, (value, _, low, _, _) in zip(others, found, strict=True):
+                    if value is not None and low is None:
+                        held.append((c, value))
+            other = pa.array([held or None for held in others], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *numbers, other], [*[f.name for f in kept], *columns, "other"])
+
+    return df.mapInArrow(run, schema)
+
+
 def unify(files: DataFrame, lines: DataFrame, loaded: dict[str, DataFrame], texts: tuple[str, ...] = ("dataset", "method")) -> DataFrame:
     """All result rows under one set of columns: those of the delivered files and those of the loaded tables.
 
     Columns: ``origin`` (a loaded table's name, else the file's series), campaign_id, file_id,
     line_no, run_id, run_at, the standard columns (double, but for ``texts``) and ``other``, a map
-    of values whose column has no standard name. A number is taken out of a text that decorates
-    it, of a range the middle; what is absent, or NaN in a loaded table, is null. Rows that files
-    repeat are kept, with their origin.
+    of values whose column has no standard name, or that hold no number where the standard column
+    is one. Texts of files and of loaded tables are read alike: a number is taken out of a text
+    that decorates it, of a range the middle, of a percentage the hundredth; what is absent, or
+    NaN in a loaded table, is null. Rows that files repeat are kept, with their origin.
     """
     standard = list(dict.fromkeys(c for df in loaded.values() for c in df.columns if c not in ("run_id", "run_at")))
     found = compare(files, lines)
@@ -315,11 +341,14 @@ def unify(files: DataFrame, lines: DataFrame, loaded: dict[str, DataFrame], text
     cells = found["cells"].where("value is not null").join(names, ["file_id", "field"])
     wide = cells.groupBy("file_id", "line_no").agg(
         *[F.max(F.when(F.col("name") == c, F.col("value") if c in texts else number)).alias(c) for c in standard],
-        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("name").isNull(), F.struct("field", "value"))))).alias("other"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("name").isNull() | (~F.col("name").isin(*texts) & number.isNull()), F.struct("field", "value"))))).alias("other"),
     )
     order = found["order"].select("file_id", "campaign_id", F.col("series").alias("origin"))
     rows = wide.join(order, "file_id")
     for table, df in loaded.items():
-        typed = [F.col(c).cast("string").alias(c) if c in texts else F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None)).alias(c) for c in standard if c in df.columns]
-        rows = rows.unionByName(df.select("run_id", "run_at", *typed).withColumn("origin", F.lit(table)), allowMissingColumns=True)
+        written = [c for c in standard if c in df.columns and c not in texts and df.schema[c].dataType.typeName() in ("string", "varchar", "char")]
+        typed = [F.col(c).cast("string").alias(c) if c in texts else F.col(c) if c in written else F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None)).alias(c) for c in standard if c in df.columns]
+        own = df.select("run_id", "run_at", *typed)
+        own = read_loaded(own, written) if written else own
+        rows = rows.unionByName(own.withColumn("origin", F.lit(table)), allowMissingColumns=True)
     return rows.select("origin", "campaign_id", "file_id", "line_no", "run_id", "run_at", *standard, "other")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from topospark.functions.quantiles import quantiles
 from topospark.operators import knn, landmarks, metrics, prepare
@@ -41,6 +42,18 @@ def test_greedy_in_blocks_picks_all_and_spreads(spark, monkeypatch):
     assert sorted(r.rank for r in rows) == list(range(6))
 
 
+@pytest.mark.parametrize("kernel", [landmarks._weighted_maxmin, landmarks._hybrid_maxmin])
+def test_greedy_picks_do_not_depend_on_the_size_limit(spark, monkeypatch, kernel):
+    rng = np.random.default_rng(3)
+    pts = cloud(spark, np.round(rng.random((120, 2)), 1)).unionByName(cloud(spark, rng.random((90, 2)), 2)).unionByName(cloud(spark, rng.random((20, 2)), 3))
+    pts = pts.withColumnRenamed("intensity", "score").withColumn("score", F.pmod("score", F.lit(7.0)) / 7)
+    picks = lambda: sorted(map(tuple, landmarks.greedy(pts, 6, kernel, 0.5).collect()))
+    exact = picks()
+    monkeypatch.setattr(landmarks, "GREEDY_BLOCK", 40)
+    monkeypatch.setattr(landmarks, "GREEDY_SAVE", 3)
+    assert len(exact) == 18 and picks() == exact
+
+
 def test_every_method_gives_m_distinct_points(spark):
     pts = generators.builtin(spark, "torus", 200, 7).cache()
     for method in ("random", "density", "hybrid", "quantum", "grid", "lidar"):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topospark.functions.quantiles import quantiles
-from topospark.functions.vectors import draw, draw_key
+from topospark.functions.vectors import distance, draw, draw_key
 from topospark.operators import knn, prepare
 from topospark.session import cut_lineage
 
 GREEDY_BLOCK = 20_000
+GREEDY_SAVE = 16  # picks after which the distances of a large cloud are written
 DIGITS = 9  # scores are rounded before they are compared, so that the last bit never decides
 
 
@@ -62,37 +63,92 @@ def _hybrid_maxmin(x: np.ndarray, score: np.ndarray, m: int, alpha: float) -> li
     return picks
 
 
+def _value(kernel: Callable, alpha: float) -> Column:
+    """The value a kernel gives a free point, from its ``score``, its ``gap`` and the cloud's ``widest`` gap."""
+    if kernel is _weighted_maxmin:
+        value = F.col("gap") * F.col("score")
+    elif kernel is _hybrid_maxmin:
+        reach = F.when(F.col("widest") > 1e-12, F.col("gap") / (F.col("widest") + F.lit(1e-12))).otherwise(0.0)
+        value = F.lit(alpha) * F.col("score") + F.lit(1 - alpha) * reach
+    else:
+        raise ValueError("a kernel without a value for clouds over one task")
+    return _rounded(value)
+
+
+def _rounded(value: Column) -> Column:
+    """As NumPy rounds."""
+    return F.rint(value * 10.0**DIGITS) / 10.0**DIGITS
+
+
+def _best(rated: DataFrame) -> DataFrame:
+    """``(cloud_id, point_id)`` of the largest ``value`` of each cloud, ties to the smallest id; batches hand on one row a cloud."""
+    names = ["cloud_id", "point_id", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by([("cloud_id", "ascending"), ("value", "descending"), ("point_id", "ascending")])
+            clouds = table.column("cloud_id").to_pylist()
+            first = [i for i, c in enumerate(clouds) if not i or c != clouds[i - 1]]
+            yield from table.take(pa.array(first, pa.int64())).combine_chunks().to_batches()
+
+    thin = rated.select(*names)
+    some = thin.mapInArrow(run, ", ".join(f"{c} {thin.schema[c].dataType.simpleString()}" for c in names))
+    return some.groupBy("cloud_id").agg(F.min_by("point_id", F.struct(F.lit(0.0) - F.col("value"), "point_id")).alias("point_id"))
+
+
+def _in_rounds(rows: DataFrame, m: int, kernel: Callable, alpha: float) -> DataFrame:
+    """The picks of a kernel for clouds of any size, one pass over their rows a pick.
+
+    A row keeps its distance to the picks so far (``gap``) and whether it is free. The picks since
+    the rows were last written, at most ``GREEDY_SAVE``, come in by a join.
+    """
+    state = cut_lineage(rows.select("*", F.lit(float("inf")).alias("gap"), F.lit(True).alias("free")))
+    best = cut_lineage(_best(state.withColumn("value", _rounded(F.col("score")))))
+    picks = best.withColumn("rank", F.lit(0))
+    recent = None
+    for rank in range(1, m):
+        pick = best.join(state.select("cloud_id", "point_id", "coords"), ["cloud_id", "point_id"]).select("cloud_id", F.array(F.struct("point_id", "coords")).alias("mark"))
+        recent = pick.withColumnRenamed("mark", "recent") if recent is None else recent.join(pick, "cloud_id").select("cloud_id", F.concat("recent", "mark").alias("recent"))
+        recent = cut_lineage(recent)
+        nearer = F.array_min(F.transform("recent", lambda r: distance("coords", r["coords"])))
+        free = F.col("free") & ~F.array_contains(F.col("recent.point_id"), F.col("point_id"))
+        seen = state.join(recent, "cloud_id").select("cloud_id", "point_id", "coords", "score", F.least("gap", nearer).alias("gap"), free.alias("free"))
+        if rank % GREEDY_SAVE == 0:
+            state, recent, picks = cut_lineage(seen), None, cut_lineage(picks)
+            seen = state
+        if kernel is _hybrid_maxmin:
+            widest = cut_lineage(seen.groupBy("cloud_id").agg(F.max("gap").alias("widest")))
+            rated = seen.where("free").join(widest, "cloud_id")
+        else:
+            rated = seen.where("free")
+        best = cut_lineage(_best(rated.withColumn("value", _value(kernel, alpha))))
+        picks = picks.unionByName(best.withColumn("rank", F.lit(rank)))
+    return picks.where(F.col("rank") < m).select("cloud_id", "rank", "point_id")
+
+
 def greedy(scored: DataFrame, m: int, kernel: Callable, alpha: float) -> DataFrame:
     """Greedy picks from rows ``(cloud_id, point_id, coords, score)``; ties go to the smallest id.
 
-    A cloud of up to ``GREEDY_BLOCK`` points is served in one step, exactly. A larger one is dealt
-    into blocks; each picks ``m``, and the picks are dealt again until one block is left (the
-    usual two-stage greedy for clusters), so no task holds more than a block.
+    A cloud of up to ``GREEDY_BLOCK`` points is served in one task, a larger one in a pass over its
+    rows for each pick; the picks are the same.
     """
     rows = scored.select("cloud_id", "point_id", "coords", F.col("score").cast("double").alias("score"))
     kind = lambda c: rows.schema[c].dataType.simpleString()
-    schema = f"cloud_id {kind('cloud_id')}, point_id {kind('point_id')}, coords array<double>, score double, rank int"
+    schema = f"cloud_id {kind('cloud_id')}, rank int, point_id {kind('point_id')}"
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("point_id")
         x = knn._matrix(table.column("coords"))
         picks = kernel(x, table.column("score").to_numpy(), m, alpha)
-        return table.take(pa.array(picks)).select(["cloud_id", "point_id", "coords", "score"]).append_column("rank", pa.array(range(len(picks)), pa.int32()))
-
-    done: DataFrame | None = None
-    turn = 0
-    largest = rows.groupBy("cloud_id").count().agg(F.max("count")).first()[0] or 0
-    while True:
-        sizes = rows.groupBy("cloud_id").agg(F.ceil(F.count(F.lit(1)) / GREEDY_BLOCK).cast("int").alias("blocks"))
-        dealt = rows.join(sizes, "cloud_id").withColumn("block", F.pmod(F.xxhash64("point_id", F.lit(turn)), F.col("blocks")))
-        last = dealt.where("blocks = 1").groupBy("cloud_id").applyInArrow(run, schema).select("cloud_id", "rank", "point_id")
-        done = last if done is None else done.unionByName(last)
-        if largest <= GREEDY_BLOCK:
-            return done
-        picked = dealt.where("blocks > 1").groupBy("cloud_id", "block").applyInArrow(lambda t: run(t.drop(["blocks", "block"])), schema)
-        rows = cut_lineage(picked.drop("rank"))
-        largest = min(largest - 1, math.ceil(largest / GREEDY_BLOCK) * m)
-        turn += 1
+        return table.take(pa.array(picks)).select(["cloud_id", "point_id"]).add_column(1, "rank", pa.array(range(len(picks)), pa.int32()))
+
+    sizes = rows.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("held"))
+    if (sizes.agg(F.max("held")).first()[0] or 0) <= GREEDY_BLOCK:
+        return rows.groupBy("cloud_id").applyInArrow(run, schema)
+    sizes = cut_lineage(sizes)
+    small = rows.join(sizes.where(F.col("held") <= GREEDY_BLOCK), "cloud_id", "left_semi")
+    large = rows.join(sizes.where(F.col("held") > GREEDY_BLOCK), "cloud_id", "left_semi")
+    return small.groupBy("cloud_id").applyInArrow(run, schema).unionByName(_in_rounds(large, m, kernel, alpha))
 
 
 def weighted_maxmin(points: DataFrame, weights: DataFrame, m: int) -> DataFrame:

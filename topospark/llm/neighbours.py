@@ -3,9 +3,9 @@
 In every tree a point has a long hash string: the bits of its coordinates along some random
 directions, interleaved from the most significant down, so that a common prefix means a common
 cell, the longer the smaller. A tree is kept as an array sorted by the string, range-partitioned
-over the cluster. The longest-prefix matches of a point stand next to it; ascending means going
-on to both sides, where prefixes get shorter. All trees ascend together, step by step, to the
-same number of candidates, and the best candidates of all trees are kept.
+over the cluster. The longest-prefix matches of a point stand next to it. A fixed number of places
+to both sides are candidates in every tree, and the best of all trees are kept; no prefix length is
+computed and the trees do not ascend step by step, so true neighbours beyond the reach are missed.
 """
 
 from __future__ import annotations

@@ -102,7 +102,7 @@ def test_neighbours_with_copies_ties_and_bad_rows(spark):
     x = np.concatenate([rng.integers(-3, 4, (300, 4)), np.zeros((40, 4))]).astype(float)
     bad = [(2, 900, None, 1.0, T, "x", "x"), (2, 901, [1.0], 1.0, T, "x", "x"), (2, 902, [1.0, None, 0.0, 0.0], 1.0, T, "x", "x"), (2, 903, [float("nan")] * 4, 1.0, T, "x", "x"), (2, None, [0.0] * 4, 1.0, T, "x", "x"), (1, 3, x[3].tolist(), None, None, "x", "x")]
     got = {}
-    for r in neighbours.nearest_points(points(spark, x, bad), 4, 5, trees=6, reach=200).collect():
+    for r in neighbours.nearest_points(points(spark, x, bad), 4, 5, trees=6, budget=4000).collect():
         got.setdefault(r.id, []).append((r.d2, r.other))
     d2 = ((x[:, None] - x[None]) ** 2).sum(2)
     for i in range(len(x)):
@@ -121,6 +121,28 @@ def test_recall_of_the_forest(spark):
     assert sum(t in got for t in true) / len(true) >= 0.9
 
 
+def test_neighbours_in_a_crowd(spark):
+    """A crowd far tighter than the rest has prefixes of its own, beyond the candidates of one prefix length."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((1500, 8)) * 3, 1 + rng.standard_normal((1500, 8)) * 1e-3])
+    got = {(r.id, r.other) for r in neighbours.nearest_points(points(spark, x), 8, trees=10, budget=400).collect()}
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    true = [(i, int(j)) for i in range(len(x)) for j in np.argsort(d2[i])[:5]]
+    assert sum(t in got for t in true if t[0] >= 1500) >= 0.9 * 7500
+    assert sum(t in got for t in true if t[0] < 1500) >= 0.9 * 7500
+
+
+def test_depth_shared_by_all_trees():
+    """Counts of two trees, by hand: lengths 5 and 3 hold one row each, length 2 fills the budget."""
+    import pyarrow as pa
+
+    packed = [[(5 << 16) | 1, (2 << 16) | 4], [(3 << 16) | 1, (2 << 16) | 5, (0 << 16) | 90], [(1 << 16) | 3]]
+    table = pa.table({"id": pa.array([7, 7, 9]), "counts": pa.array(packed, pa.list_(pa.int32()))})
+    found = neighbours.common_depth(table, budget=6, trees=2).to_pydict()
+    assert found == {"id": [7, 9], "depth": [3, 0], "more": [4, 0]}
+
+
 def test_varied_subset_covers_and_skips_repeats(spark):
     rng = np.random.default_rng(3)
     crowd = np.zeros((500, 3)) + rng.random((500, 3)) * 0.01

@@ -47,6 +47,29 @@ def test_mixture_holds_along_the_way():
     assert abs(share - items[items.source == "a"].share.iloc[0]) < 0.02
 
 
+def test_given_shares_hold_over_shards_while_there_are_items(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "abc"[i % 3], int(n), "x") for i, n in enumerate(rng.integers(10, 60, 3000))]
+    out = pack(spark, rows, shares={"a": 0.5, "b": 0.25, "c": 0.25}, shard_tokens=4000)
+    assert len(out) == 3000 and out.container_id.notna().all()
+    shard = out.container_id.astype("int64") // (1 << 32)
+    # up to the shard where a is used up; each shard's own items bound what it can give
+    early = out[shard < shard.max() // 3]
+    share = early.groupby("source").n_tokens.sum() / early.n_tokens.sum()
+    assert share["a"] < 0.5  # shards hold a third of each, all of which is placed
+    first = out[shard == 0].sort_values(["container_id", "offset"])
+    lead = first[first.container_id.isin(sorted(first.container_id.unique())[:12])]
+    assert abs((lead[lead.source == "a"].n_tokens.sum() / lead.n_tokens.sum()) - 0.5) < 0.06
+
+
+def test_sums_before_come_by_buckets(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], i) for i in range(2000)], "shard bigint, source string, given bigint")
+    got = packing.sums_before(rows, ["source"], "shard", "given", "before").toPandas()
+    for source in "ab":
+        own = got[got.source == source].sort_values("shard")
+        assert (own.before.to_numpy() == np.cumsum(own.given) - own.given).all() and len(own) == 1000
+
+
 def test_no_rows_give_no_containers(spark):
     assert len(pack(spark, [])) == 0
     assert pack(spark, [(1, "a", 0, "x")]).container_id.isna().all()
@@ -82,6 +105,25 @@ def test_pieces_end_where_the_text_does(spark):
 
 def test_breaks_know_headings_numbers_sentences_and_wrapped_lines():
     wrapped = "Tatbestand\n\n(1) Erster Satz hier, der recht lang ist und deshalb umbrochen wird bei\n46 710 Taler. Zweiter Satz mit Dr. Kin. Dritter.\n- Punkt eins"
-    kinds = {wrapped[c:].lstrip().split()[0]: k for c, k in pieces.breaks(wrapped)}
+    kinds = {wrapped[c:].lstrip().split()[0]: k // pieces.DEPTHS for c, k in pieces.breaks(wrapped)}
     assert kinds["(1)"] == pieces.PARAGRAPH and kinds["46"] == pieces.LINE and kinds["Zweiter"] == pieces.SENTENCE and kinds["-"] == pieces.PARAGRAPH
     assert "Kin." not in kinds
+
+
+def test_breaks_nest_headings_and_numbering():
+    lines = ["# A", "## B", "1. one", "1.1 first", "(a) x", "(b) y", "1.2 second", "2. two", "- p", "  - q", "- r", "Rn. 5 text", "Costs", "¶ 1 More", "Page 3 of 9", "1.2.1 deep", "1.3 less"]
+    text = "\n".join(lines)
+    found = {text[c:].split("\n")[0].strip(): divmod(k, pieces.DEPTHS) for c, k in pieces.breaks(text)}
+    part, para = pieces.PART, pieces.PARAGRAPH
+    assert found["## B"] == (part, 1) and found["1. one"] == (para, 0) and found["1.1 first"] == (para, 1)
+    assert found["(a) x"] == found["(b) y"] == (para, 2) and found["1.2 second"] == (para, 1) and found["2. two"] == (para, 0)
+    assert found["- p"] == found["- r"] and found["- q"][1] == found["- p"][1] + 1
+    assert found["Rn. 5 text"][0] == para and found["Costs"] == (part, 0) and found["¶ 1 More"] == (para, 0)
+    assert found["Page 3 of 9"][0] == pieces.LINE and found["1.3 less"][1] == found["1.2.1 deep"][1]
+
+
+def test_parts_that_fit_are_not_cut_and_siblings_merge():
+    # two parts of 30 tokens, one of 130 with paragraphs of 20, one of 30; limit 64
+    at = np.array([30, 60, 80, 100, 120, 140, 160, 190])
+    kinds = np.array([0, 0, 1, 1, 1, 1, 1, 0]) * pieces.DEPTHS
+    assert pieces.pack_tree(at, kinds, np.arange(221), 220, 64) == [60, 120, 160, 190, 220]

@@ -5,7 +5,8 @@ no source, however large, meets in one task. Within a shard a deficit round-robi
 source queues opens one container after another: each container credits every source its
 share of the capacity, the source furthest behind gives its largest item that still fits.
 Credit carries from container to container, and from shard to shard: what the shards before
-have given of each source is known from sums, before anything is packed.
+have given of each source is known from sums, before anything is packed. The mixture holds along
+the way; a single container holds few items, so its own mixture is only as near as they allow.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 22
+BUCKETS = 4096
 
 
 def cut_oversized(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -62,12 +64,27 @@ def fill(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pd.DataFrame({"container_no": place, "at": at})
 
 
+def sums_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows of the same keys with a smaller ``order`` (whole numbers from 0).
+
+    Sums of at most ``BUCKETS`` runs of the order come first, so no window holds more rows than
+    that of one key, or more than one run.
+    """
+    size = rows.agg(F.ceil((F.max(order) + 1) / BUCKETS).cast("bigint").alias("size")).first().size or 1  # one number
+    rows = rows.withColumn("__run", F.floor(F.col(order) / size))
+    earlier = lambda by, along: F.coalesce(F.sum(value if along == order else "__held").over(Window.partitionBy(*by).orderBy(along).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = rows.groupBy(*keys, "__run").agg(F.sum(value).alias("__held")).withColumn("__lower", earlier(keys, "__run")).drop("__held")
+    inside = rows.withColumn("__inside", earlier([*keys, "__run"], order))
+    return inside.join(held.hint("merge"), [*keys, "__run"]).withColumn(name, F.col("__lower") + F.col("__inside")).drop("__run", "__lower", "__inside")
+
+
 def pack(
     sizes: DataFrame,
     capacity: int = 2048,
     id_column: str = "doc_id",
     source_column: str = "source",
     shard_tokens: int = SHARD_TOKENS,
+    shares: dict[str | None, float] | None = None,
 ) -> DataFrame:
     """Places rows of ``(id, source, n_tokens)`` into containers of ``capacity`` tokens.
 
@@ -75,25 +92,30 @@ def pack(
     ``container_id`` and ``offset`` within it. Only an item over the capacity is divided, into
     full pieces and one remainder. A row of no tokens takes no room: one row with null container
     and offset. A null source is a source of its own; rows that repeat are each placed. The
-    shares to keep are those of the sources in all tokens.
+    shares of the mixture are ``shares`` (a source it does not name has 0 and comes where
+    nothing else fits or is left), by default those of the sources in all tokens. All items are
+    placed whatever the shares, so a source that is used up leaves its part to the others.
     """
     base = sizes.select(
         F.col(id_column).alias("key"), F.col(source_column).cast("string").alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")
     )
-    total = F.sum("n_tokens").over(Window.partitionBy())
-    shares = base.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
-    shares = shares.select(F.coalesce("source", F.lit("\0")).alias("source"), (F.col("n_tokens") / total).alias("share"), total.alias("total"))
+    total = base.agg(F.sum("n_tokens").alias("total")).first().total or 0  # one number
+    if shares is None:
+        mixture = base.where("n_tokens > 0").groupBy("source").agg((F.sum("n_tokens") / F.lit(max(1, total))).alias("share"))
+        mixture = mixture.select(F.coalesce("source", F.lit("\0")).alias("source"), "share")
+    else:
+        whole = sum(shares.values())
+        mixture = base.sparkSession.createDataFrame([("\0" if k is None else k, v / whole) for k, v in shares.items()], "source string, share double")
     items = cut_oversized(base, capacity).withColumn("source", F.coalesce("source", F.lit("\0")))
-    spread = F.abs(F.xxhash64("key", "piece_no", "size"))
-    shard = F.pmod(spread, F.ceil(F.col("total") / shard_tokens).cast("bigint"))
-    items = items.join(shares, "source").withColumn("shard", shard)
+    shard = F.pmod(F.abs(F.xxhash64("key", "piece_no", "size")), F.lit(max(1, -(-total // shard_tokens))))
+    items = items.join(mixture, "source", "left").fillna(0.0, ["share"]).withColumn("shard", shard)
     given = items.groupBy("shard", "source", "share").agg(F.sum("size").alias("given"))
-    so_far = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    of_source = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = given.groupBy("shard").agg(F.sum("given").alias("given")).select("shard", F.coalesce(F.sum("given").over(so_far), F.lit(0)).alias("all_before"))
-    own = given.select("shard", "source", "share", F.coalesce(F.sum("given").over(of_source), F.lit(0)).alias("own_before"))
-    carried = own.join(before, "shard").select("shard", "source", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("carried"))
-    ready = items.join(carried, ["shard", "source"]).select("shard", "key", "source", "piece_no", "token_start", "size", "share", "carried")
+    own = sums_before(given, ["source"], "shard", "given", "own_before")
+    before = given.groupBy("shard").agg(F.sum("given").alias("given"))
+    before = sums_before(before.withColumn("all", F.lit(0)), ["all"], "shard", "given", "all_before").select("shard", "all_before")
+    carried = own.join(before.hint("merge"), "shard").select("shard", "source", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("carried"))
+    # grows with the shards, so it is never broadcast
+    ready = items.join(carried.hint("merge"), ["shard", "source"]).select("shard", "key", "source", "piece_no", "token_start", "size", "share", "carried")
     key_type = base.schema["key"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topospark.llm.topn import top_n_ranked
+from topospark.operators import knn
 from topospark.session import cut_lineage
 
 TREES = 24
@@ -378,3 +379,18 @@ def close_pairs(points: DataFrame, dim: int, k: int = 5, max_distance: float = 1
     rows = nearest_points(points, dim, k, max_distance, **(NEAR | index))
     ends = rows.select(F.least("id", "other").alias("point_a"), F.greatest("id", "other").alias("point_b"))
     return ends.distinct()
+
+
+def recall(points: DataFrame, dim: int, k: int = 5, every: int = 20, **index: int) -> DataFrame:
+    """One row ``(queries, neighbours, found)``: of the ``k`` true neighbours of each point whose id is divisible by ``every``, those that ``nearest_points`` gives.
+
+    The truth is brute force of the queries against all points, block by block. Of equally distant
+    neighbours the smaller ids are the true ones.
+    """
+    vectors = valid_vectors(points, dim).select(F.lit(0).alias("cloud_id"), F.col("id").alias("point_id"), F.col("vector").alias("coords"))
+    vectors = cut_lineage(vectors)
+    exact = knn.ranked(knn.nearest(vectors.where(F.col("point_id") % every == 0), vectors, k, exclude_self=True))
+    true = exact.select(F.col("point_id").alias("id"), F.col("target_id").alias("other"))
+    given = nearest_points(points, dim, k, **index).where(F.col("id") % every == 0).select("id", "other", F.lit(1).alias("hit"))
+    both = true.join(given, ["id", "other"], "left")
+    return both.agg(F.count_distinct("id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found"))

@@ -40,6 +40,16 @@ def p4_rows(spark: SparkSession, folder: str) -> DataFrame:
     return related.assign_pairs(_table(spark, folder, "odometry_sequences"), _table(spark, folder, "frame_pairs"), SHARES)
 
 
+def p4_components(spark: SparkSession, folder: str) -> DataFrame:
+    """The components of the splits with their weight; each lies in one split."""
+    return related.components(p4_splits(spark, folder))
+
+
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the true neighbours the forest finds, for every point whose id is divisible by 20 against all points."""
+    return neighbours.recall(_table(spark, folder, "cloud_points"), 24)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_lifetimes(_table(spark, folder, "tda_features")).select("seq", "frame", "dim", "chunk_no", "pos_no")
 
@@ -59,9 +69,32 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_subset, p3_found, p3_nearest, p4_found, p4_splits, p4_rows, p5_found, p6_ids, p7_containers, p8_pieces)
+    for f in (p2_subset, p3_found, p3_nearest, p3_recall, p4_found, p4_splits, p4_rows, p4_components, p5_found, p6_ids, p7_containers, p8_pieces)
 }
 
+RELATED_SQL = """
+WITH RECURSIVE named AS (
+  SELECT seq, trim(seq) AS exact, seq AS raw, parent_seq, drive_id, operator_id FROM odometry_sequences WHERE seq IS NOT NULL
+), ids AS (
+  SELECT seq, kind, regexp_replace(regexp_replace(regexp_replace(lower(x), '\\s+', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[-_.]+', '', 'g') AS k
+  FROM (SELECT seq, 'd' AS kind, drive_id AS x FROM named UNION ALL SELECT seq, 'o', operator_id FROM named) WHERE x IS NOT NULL
+), scans AS (
+  SELECT DISTINCT seq, 's' AS kind, lower(trim(x)) AS k FROM (SELECT seq, scan_t AS x FROM frame_pairs UNION ALL SELECT seq, scan_t1 FROM frame_pairs)
+  WHERE x IS NOT NULL AND seq IS NOT NULL AND length(replace(lower(trim(x)), left(lower(trim(x)), 1), '')) > 0
+), keys AS (
+  SELECT DISTINCT seq, kind, k FROM (SELECT * FROM ids UNION ALL SELECT * FROM scans)
+  WHERE regexp_matches(k, '[a-z0-9]') AND k NOT IN ('', 'na', 'n/a', 'none', 'null', 'nil', 'nan', 'unknown', 'unk', 'tbd', '?', 'undefined', 'missing', 'x')
+), known AS (
+  SELECT DISTINCT seq FROM named UNION SELECT DISTINCT seq FROM frame_pairs WHERE seq IS NOT NULL
+), links AS (
+  SELECT a.seq AS a, b.seq AS b FROM keys a JOIN keys b ON a.kind = b.kind AND a.k = b.k AND a.seq <> b.seq
+  UNION SELECT n.seq, k.seq FROM named n JOIN known k ON trim(n.parent_seq) = k.seq AND n.seq <> k.seq
+  UNION SELECT k.seq, n.seq FROM named n JOIN known k ON trim(n.parent_seq) = k.seq AND n.seq <> k.seq
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "p5_found": """
 WITH chunks AS (
@@ -92,27 +125,14 @@ WITH pts AS (
 )
 SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM ranked
 """,
-    "p4_found": """
-WITH RECURSIVE named AS (
-  SELECT seq, trim(seq) AS exact, seq AS raw, parent_seq, drive_id, operator_id FROM odometry_sequences WHERE seq IS NOT NULL
-), ids AS (
-  SELECT seq, kind, regexp_replace(regexp_replace(regexp_replace(lower(x), '\\s+', '', 'g'), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[-_.]+', '', 'g') AS k
-  FROM (SELECT seq, 'd' AS kind, drive_id AS x FROM named UNION ALL SELECT seq, 'o', operator_id FROM named) WHERE x IS NOT NULL
-), scans AS (
-  SELECT DISTINCT seq, 's' AS kind, lower(trim(x)) AS k FROM (SELECT seq, scan_t AS x FROM frame_pairs UNION ALL SELECT seq, scan_t1 FROM frame_pairs)
-  WHERE x IS NOT NULL AND seq IS NOT NULL AND length(replace(lower(trim(x)), left(lower(trim(x)), 1), '')) > 0
-), keys AS (
-  SELECT DISTINCT seq, kind, k FROM (SELECT * FROM ids UNION ALL SELECT * FROM scans)
-  WHERE regexp_matches(k, '[a-z0-9]') AND k NOT IN ('', 'na', 'n/a', 'none', 'null', 'nil', 'nan', 'unknown', 'unk', 'tbd', '?', 'undefined', 'missing', 'x')
-), known AS (
-  SELECT DISTINCT seq FROM named UNION SELECT DISTINCT seq FROM frame_pairs WHERE seq IS NOT NULL
-), links AS (
-  SELECT a.seq AS a, b.seq AS b FROM keys a JOIN keys b ON a.kind = b.kind AND a.k = b.k AND a.seq <> b.seq
-  UNION SELECT n.seq, k.seq FROM named n JOIN known k ON trim(n.parent_seq) = k.seq AND n.seq <> k.seq
-  UNION SELECT k.seq, n.seq FROM named n JOIN known k ON trim(n.parent_seq) = k.seq AND n.seq <> k.seq
-), reach AS (
-  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    "p4_found": RELATED_SQL + """SELECT DISTINCT a AS seq_a, b AS seq_b FROM reach WHERE a < b
+""",
+    "p4_components": RELATED_SQL + """, every AS (
+  SELECT seq, max(n) AS n_pairs FROM (
+    SELECT seq, 0 AS n FROM odometry_sequences UNION ALL SELECT seq, count(*) AS n FROM frame_pairs GROUP BY seq) GROUP BY seq
+), member AS (
+  SELECT e.seq, e.n_pairs, least(e.seq, min(r.b)) AS first_seq FROM every e LEFT JOIN reach r ON r.a = e.seq GROUP BY e.seq, e.n_pairs
 )
-SELECT DISTINCT a AS seq_a, b AS seq_b FROM reach WHERE a < b
+SELECT first_seq, count(*) AS n_seqs, CAST(sum(n_pairs) AS BIGINT) AS n_pairs, CAST(1 AS BIGINT) AS n_splits FROM member GROUP BY first_seq
 """,
 }

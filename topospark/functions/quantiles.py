@@ -29,15 +29,19 @@ def at_ranks(values: DataFrame, value: str, ranks: DataFrame, keys: list[str]) -
     return wanted.drop("n_before").join(held_to, [*keys, "slot"]).where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("last"))).drop("slot", "before", "last")
 
 
-def quantiles(values: DataFrame, value: str, shares: dict[str, float], keys: list[str]) -> DataFrame:
-    """(keys, one column a share): quantiles with linear interpolation; null and NaN values do not count."""
-    rows = values.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__v", F.col(value).cast("double")).select(*keys, "__v")
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def spots(counts: DataFrame, shares: dict[str, float], keys: list[str]) -> DataFrame:
+    """``(keys, name, rank, part)``: the ranks between which each share of ``n`` rows lies, and the part of each."""
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at")) for name, p in shares.items()]))
-    spots = n.select(*keys, wanted.alias("w")).select(*keys, "w.name", "w.at")
+    at = counts.select(*keys, wanted.alias("w")).select(*keys, "w.name", "w.at")
     beyond = F.col("at") - F.floor("at")
     end = lambda place, part: F.struct((place + 1).cast("bigint").alias("rank"), part.alias("part"))
     ends = F.explode(F.array(end(F.floor("at"), 1 - beyond), end(F.ceil("at"), beyond)))
-    ranks = spots.select(*keys, "name", ends.alias("e")).select(*keys, "name", "e.rank", "e.part")
-    found = at_ranks(rows, "__v", ranks, keys)
+    return at.select(*keys, "name", ends.alias("e")).select(*keys, "name", "e.rank", "e.part")
+
+
+def quantiles(values: DataFrame, value: str, shares: dict[str, float], keys: list[str]) -> DataFrame:
+    """(keys, one column a share): quantiles with linear interpolation; null and NaN values do not count."""
+    rows = values.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__v", F.col(value).cast("double")).select(*keys, "__v")
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    found = at_ranks(rows, "__v", spots(n, shares, keys), keys)
     return found.groupBy(*keys).agg(*[F.sum(F.when(F.col("name") == name, F.col("part") * F.col("__v"))).alias(name) for name in shares])

@@ -17,6 +17,7 @@ from topospark.session import cut_lineage
 
 GREEDY_BLOCK = 20_000
 GREEDY_SAVE = 16  # picks after which the distances of a large cloud are written
+LATE = 1 << 30  # drawn points come after all picks
 DIGITS = 9  # scores are rounded before they are compared, so that the last bit never decides
 
 
@@ -187,10 +188,16 @@ def spatial_hash(points: DataFrame, cell: float | Column) -> DataFrame:
 
 
 def _fill(points: DataFrame, picks: DataFrame, m: int, seed: int) -> DataFrame:
-    """Picks ``(cloud_id, point_id, order)`` topped up with drawn points to ``m``, ranked."""
-    rest = points.join(picks, ["cloud_id", "point_id"], "left_anti").select("cloud_id", "point_id", F.lit(1 << 30).alias("order"))
-    both = picks.select("cloud_id", "point_id", F.col("order").cast("int").alias("order")).unionByName(rest)
-    return number(both, [F.col("order"), draw_key("point_id", seed), F.col("point_id")], m)
+    """Picks ``(cloud_id, point_id, order)`` topped up with drawn points to ``m``, ranked.
+
+    Of the first ``2 * m`` drawn points at most ``m`` are picks already, so no more are ever
+    needed and the points are pruned before the shuffle.
+    """
+    order = F.row_number().over(Window.partitionBy("cloud_id").orderBy(draw_key("point_id", seed), "point_id"))
+    rest = points.select("cloud_id", "point_id").withColumn("order", order).where(F.col("order") <= 2 * m)
+    both = picks.select("cloud_id", "point_id", F.col("order").cast("int").alias("order")).unionByName(rest.withColumn("order", F.col("order") + LATE))
+    once = both.groupBy("cloud_id", "point_id").agg(F.min("order").alias("order"))  # a pick that is drawn as well
+    return number(once, [F.col("order"), draw_key("point_id", seed), F.col("point_id")], m)
 
 
 def sparse_cells(points: DataFrame, m: int, alpha: float = 0.7, seed: int = 42) -> DataFrame:
@@ -253,11 +260,22 @@ def lidar_sectors(points: DataFrame, m: int, n_sectors: int = 16, n_rings: int =
     return _fill(points, picks.select("cloud_id", "point_id", "order"), m, seed + 1)
 
 
-def select(points: DataFrame, method: str, m: int, seed: int, dim: int, alpha: float = 0.5) -> DataFrame:
-    """Landmarks by the name of a method."""
+def radii_summary(points: DataFrame, k: int = 10) -> DataFrame:
+    """``(cloud_id, radius_mean, radius_median)`` of the distances to the k-th nearest other point."""
+    radii = cut_lineage(knn.kth_radius(points, k))
+    mean = radii.groupBy("cloud_id").agg(F.avg("radius").alias("radius_mean"))
+    return mean.join(quantiles(radii, "radius", {"radius_median": 0.5}, ["cloud_id"]), "cloud_id")
+
+
+def select(points: DataFrame, method: str, m: int, seed: int, dim: int, alpha: float = 0.5, c: float = 8) -> DataFrame:
+    """Landmarks by the name of a method; a cloud of at most ``m`` points gives all of them."""
+    if m < 1:
+        raise ValueError("m must be at least 1")
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha must lie in [0, 1]")
     methods: dict[str, Callable[[], DataFrame]] = {
         "random": lambda: random(points, m, seed),
-        "density": lambda: density(points, m, dim, seed=seed),
+        "density": lambda: density(points, m, dim, c=c, seed=seed),
         "hybrid": lambda: hybrid(points, m, alpha),
         "quantum": lambda: sparse_cells(points, m, seed=seed),
         "grid": lambda: multi_grid(points, m, seed=seed),

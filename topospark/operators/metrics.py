@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topospark.functions.quantiles import at_ranks, quantiles, with_slots
+from topospark.functions.quantiles import at_ranks, quantiles, spots, with_slots
 from topospark.operators import knn, prepare
+from topospark.session import cut_lineage
 
 TOP = 10
 
@@ -53,16 +54,21 @@ def coverage(points: DataFrame, landmarks: DataFrame, radius: float, landmark_bo
     """
     dist = first_neighbour(near) if near is not None else nearest_landmark(points, landmarks, landmark_bound)
     rows = prepare.with_weights(points.select("cloud_id", "point_id", "intensity")).join(dist, ["cloud_id", "point_id"])
+    rows = cut_lineage(rows.select("cloud_id", "dist", "weight"))  # read by every statistic
     inside = F.col("dist") <= radius
-    plain = rows.groupBy("cloud_id").agg(
+    plain = cut_lineage(rows.groupBy("cloud_id").agg(
+        F.count("dist").alias("n"),
         F.avg("dist").alias("coverage_mean"),
         F.sum(F.col("dist") * F.col("weight")).alias("coverage_weighted_mean"),
         F.avg(inside.cast("double")).alias("coverage_ratio"),
         F.sum(F.when(inside, F.col("weight")).otherwise(0.0)).alias("coverage_weighted_ratio"),
-    )
-    ranked = at_ranks(rows, "dist", rank_reaching(rows, "weight", 0.95), ["cloud_id"]).select("cloud_id", F.col("dist").alias("coverage_weighted_p95"))
-    p95 = quantiles(rows, "dist", {"coverage_p95": 0.95}, ["cloud_id"])
-    return plain.join(p95, "cloud_id", "left").join(ranked, "cloud_id", "left")
+    ))
+    # the ranks of the percentile, and of the weights, are looked up together
+    ends = spots(plain.select("cloud_id", "n"), {"coverage_p95": 0.95}, ["cloud_id"])
+    reached = rank_reaching(rows, "weight", 0.95).select("cloud_id", F.lit("coverage_weighted_p95").alias("name"), F.col("rank").cast("bigint").alias("rank"), F.lit(1.0).alias("part"))
+    found = at_ranks(rows, "dist", ends.unionByName(reached), ["cloud_id"])
+    ranked = found.groupBy("cloud_id").agg(*[F.sum(F.when(F.col("name") == name, F.col("part") * F.col("dist"))).alias(name) for name in ("coverage_p95", "coverage_weighted_p95")])
+    return plain.drop("n").join(ranked, "cloud_id", "left")
 
 
 def landmark_intensity(points: DataFrame, landmarks: DataFrame) -> DataFrame:
@@ -130,6 +136,12 @@ def summary(points: DataFrame, landmarks: DataFrame, bars: DataFrame, radius: fl
     return cover.join(per_dim, "cloud_id").select("cloud_id", F.map_concat(flat, "diagram").alias("summary"))
 
 
+def percentile_radius(points: DataFrame, landmarks: DataFrame, percentile: float = 90.0) -> DataFrame:
+    """``(cloud_id, radius)``: a percentile of the distances to the nearest landmark, as a radius of coverage where none is given."""
+    dist = cut_lineage(nearest_landmark(points, landmarks))
+    return quantiles(dist, "dist", {"radius": percentile / 100}, ["cloud_id"])
+
+
 def to_vector(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """A summary as a vector in the order of ``keys``, 0 where a key is missing."""
     return summaries.select("cloud_id", F.array(*[F.coalesce(F.element_at("summary", k), F.lit(0.0)).cast("float") for k in keys]).alias("vector"))

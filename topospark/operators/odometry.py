@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topospark.functions import rotations as R
@@ -25,34 +25,33 @@ def relative_poses(poses: DataFrame, stride: int = 1) -> DataFrame:
 def trajectory(steps: DataFrame) -> DataFrame:
     """``(seq, frame, pose)``: the ordered products of the steps ``(seq, frame, step)`` up to each frame.
 
-    Products associate, so each stretch of a sequence is multiplied out on its own, then the
-    products of whole stretches, then both are joined: no task holds a long sequence.
+    Products associate, so each stretch of ``STRETCH`` frames is multiplied out on its own, then
+    the products of whole stretches (one row for each), then both are joined: no task holds
+    more of a sequence than a stretch, or a ``STRETCH``-th of it.
     """
     kind = steps.schema["seq"].dataType.simpleString()
-    dealt = steps.withColumn("stretch", F.floor(F.col("frame") / STRETCH))
-
-    def prefix(order: str):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(order, kind="stable")
-            total, out = None, []
-            for p in group["step"]:
-                m = p.reshape(4, 4)
-                total = m if total is None else total @ m
-                out.append(total.ravel())
-            return group.assign(step=out)
+
+    def products(order: str, keep: list[str]):
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by(order)
+            m = table.column("step").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, 4).copy()
+            reach = 1
+            while reach < len(m):  # doubling: each pass joins runs twice as long
+                m[reach:] = m[:-reach] @ m[reach:]
+                reach *= 2
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 16).cast(pa.list_(pa.float64()))
+            return table.select(keep).append_column("step", flat)
 
         return run
 
-    local = dealt.select("seq", "stretch", "frame", "step").groupBy("seq", "stretch").applyInPandas(prefix("frame"), f"seq {kind}, stretch bigint, frame int, step array<double>")
-    local = cut_lineage(local)  # read by the sums above it and by the last join
-    whole = local.groupBy("seq", "stretch").agg(F.max_by("step", "frame").alias("step")).withColumn("level", F.floor(F.col("stretch") / STRETCH))
-    whole = cut_lineage(whole.groupBy("seq", "level").applyInPandas(prefix("stretch"), f"seq {kind}, stretch bigint, step array<double>, level bigint"))
-    above = whole.groupBy("seq", "level").agg(F.max_by("step", "stretch").alias("step"))
-    above = above.withColumn("stretch", F.col("level")).groupBy("seq").applyInPandas(prefix("level"), f"seq {kind}, level bigint, step array<double>, stretch bigint")
-    lead = above.select("seq", (F.col("level") + 1).alias("level"), F.col("step").alias("lead"))
-    joined = whole.join(lead, ["seq", "level"], "left").withColumn("step", F.when(F.col("lead").isNull(), F.col("step")).otherwise(R.multiply_poses(F.col("lead"), F.col("step"))))
-    before = joined.select("seq", (F.col("stretch") + 1).alias("stretch"), F.col("step").alias("before"))
-    rows = local.join(before, ["seq", "stretch"], "left")
+    dealt = steps.select("seq", F.floor(F.col("frame") / STRETCH).cast("bigint").alias("stretch"), F.col("frame").cast("int").alias("frame"), "step")
+    schema = f"seq {kind}, stretch bigint, frame int, step array<double>"
+    local = cut_lineage(dealt.groupBy("seq", "stretch").applyInArrow(products("frame", ["seq", "stretch", "frame"]), schema))  # read below and by the last join
+    whole = local.groupBy("seq", "stretch").agg(F.max_by("step", "frame").alias("step"))
+    whole = whole.groupBy("seq").applyInArrow(products("stretch", ["seq", "stretch"]), f"seq {kind}, stretch bigint, step array<double>")
+    along = Window.partitionBy("seq").orderBy("stretch")
+    before = whole.select("seq", "stretch", F.lag("step").over(along).alias("before")).where("before is not null")
+    rows = local.join(before, local.seq.eqNullSafe(before.seq) & (local.stretch == before.stretch), "left").select(local.seq, "frame", "step", "before")
     return rows.select("seq", "frame", F.when(F.col("before").isNull(), F.col("step")).otherwise(R.multiply_poses(F.col("before"), F.col("step"))).alias("pose"))
 
 

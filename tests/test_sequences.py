@@ -122,6 +122,55 @@ def test_pose_gradients_and_training(spark):
 def test_student_ignores_the_order_of_points(spark):
     rng = np.random.default_rng(1)
     pts = spark.createDataFrame([("c", rng.random(3).tolist()) for _ in range(40)], "cloud_id string, coords array<double>")
-    net = models.point_network(51, (3, 8, 16))
+    net = models.dense((3, 8, 16), 0, "point_") | models.dense((32, 128, 51), 1, "head_")
     a, b = models.student_descriptors(pts, net).first().vector, models.student_descriptors(pts.orderBy(F.rand(3)).repartition(5), net).first().vector
     assert len(a) == 51 and np.allclose(a, b)
+
+
+def test_recurrent_state_goes_through_a_sequence(spark):
+    net = models.recurrent(3, 4, 2, seed=1)
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((60, 3))
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)] + [("b", 5, [0.0] * 3), (None, 1, [1.0] * 3), (None, 2, [2.0] * 3)], "seq string, frame int, x array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = models.predict_sequences(rows, net).toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    state, last = [(np.zeros(4), np.zeros(4))] * 2, []
+    for v in x:
+        for i in range(2):
+            part = {"wx": net[f"wx{i}"], "wh": net[f"wh{i}"], "b": net[f"b{i}"]}
+            state[i] = models.recurrent_step(part, v, *state[i])
+            v = state[i][0]
+        last.append(v)
+    own = got[got.seq == "a"].sort_values("frame")
+    assert own.frame.tolist() == list(range(59)) and len(got[got.seq == "b"]) == 0 and got.seq.isna().sum() == 1
+    assert np.allclose(np.stack(own.translation.to_numpy()), np.diff(last, axis=0) @ net["t_w0"] + net["t_b0"])
+    assert np.allclose(np.linalg.norm(np.stack(own["quaternion"].to_numpy()), axis=1), 1)
+
+
+def test_students_pool_points_and_give_up_normal_form(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((40, 3))
+    rows = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)], "cloud_id int, point_id int, coords array<double>")
+    for kind in ("lite", "large"):
+        net = models.student_network(kind, 7)
+        got = {r.cloud_id: r.vector for r in models.student_descriptors(rows, net, np.full(7, 5.0), np.full(7, 2.0)).collect()}
+        for cloud in (0, 1):
+            y, i = x[cloud::2], 0
+            while f"point_w{i}" in net:
+                y, i = np.maximum(y @ net[f"point_w{i}"] + net[f"point_b{i}"], 0), i + 1
+            y, i = y.max(0), 0
+            while f"head_w{i}" in net:
+                y, i = (y if i == 0 else np.maximum(y, 0)) @ net[f"head_w{i}"] + net[f"head_b{i}"], i + 1
+            assert np.allclose(got[cloud], y * 2 + 5)
+
+
+def test_long_gaps_in_a_trajectory(spark):
+    from topospark.operators import odometry
+
+    step = np.eye(4)
+    step[0, 3] = 1.0
+    frames = [0, 1, 2, 5000, 5001, 12000]
+    rows = spark.createDataFrame([("a", f, step.ravel().tolist()) for f in frames], "seq string, frame int, step array<double>")
+    got = {r.frame: r.pose[3] for r in odometry.trajectory(rows).collect()}
+    assert got == {f: i + 1.0 for i, f in enumerate(frames)}

@@ -5,6 +5,7 @@ import struct
 import numpy as np
 import pytest
 
+from topospark.operators import prepare
 from topospark.sources import generators, readers, sinks
 
 
@@ -35,11 +36,8 @@ def test_npy_and_csv(spark, tmp_path):
 def test_ply_round_trip_and_errors(spark, tmp_path):
     pts = generators.builtin(spark, "sphere", 7, 1)
     sinks.write_ply(pts, str(tmp_path / "out"))
-    parts = sorted((tmp_path / "out").glob("part-*"))
-    lines = [line for p in parts for line in p.read_text().splitlines()]
-    head = [line for line in lines if not line[0].isdigit() and line[0] != "-"]
-    (tmp_path / "one.ply").write_text("\n".join([*head, *[line for line in lines if line not in head]]))
-    rows = readers.read_ply(spark, str(tmp_path / "one.ply")).collect()
+    assert len(list((tmp_path / "out").glob("part-*"))) == 1
+    rows = readers.read_ply(spark, str(tmp_path / "out")).collect()
     assert len(rows) == 7 and sorted(np.round([r.coords[0] for r in rows], 5)) == sorted(np.round([r.coords[0] for r in pts.collect()], 5))
     for bad in (b"", b"ply\nformat binary 1.0\nend_header\n", b"ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n"):
         with pytest.raises(readers.FormatError):
@@ -77,3 +75,37 @@ def test_results_and_cases(spark, tmp_path):
     assert readers.read_cases(spark, str(tmp_path / "cases.json")).first().m == 4
     frame = spark.createDataFrame([(" a, ,b ",)], "t string")
     assert frame.select(readers.parse_methods(frame.t)).first()[0] == ["a", "b"]
+
+
+def test_csv_lines_are_numbered_by_file_however_it_is_cut(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{i},{ord(name)},0\n" for i in range(400)))
+    seen = []
+    for size in ("64m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = readers.read_csv(spark, str(tmp_path), 3).collect()
+        seen.append({(r.path[-5:], r.point_id, r.coords[0]) for r in rows})
+        assert len(rows) == 800 and all(r.point_id == r.coords[0] for r in rows)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1]
+
+
+def test_volumes_take_their_own_affine(spark):
+    rows = [("v", 5, 1, 2, 3, 0.5, [2.0, 0, 0, 1, 0, 3, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1.0])]
+    voxels = spark.createDataFrame([(*r[:-1], [float(x) for x in r[-1]]) for r in rows], "cloud_id string, voxel_id bigint, i int, j int, k int, value double, affine array<double>")
+    assert prepare.voxels_to_world(voxels).first().coords == [3.0, 6.0, 3.0]
+
+
+def test_command_line_runs_volumes_and_cases(spark, tmp_path):
+    from topospark import cli
+
+    cli.main(["volume", "--synthetic", "--preset", "fast", "--methods", "random", "--m", "12", "--max-points", "300", "--output", str(tmp_path / "v"), "--dataset-label", "brain"])
+    rows = readers.read_results(spark, str(tmp_path / "v")).collect()
+    assert [(r.dataset, r.method, r.m) for r in rows] == [("brain", "random", 12.0)]
+    (tmp_path / "cases.json").write_text('[{"builtin": "torus", "samples": 120, "m": 10, "methods": "random, grid"}, {"builtin": "moons", "samples": 100, "m": 8, "dataset_label": "own"}]')
+    cli.main(["cases", "--input", str(tmp_path / "cases.json"), "--output", str(tmp_path / "c")])
+    rows = readers.read_results(spark, str(tmp_path / "c")).collect()
+    assert sorted((r.batch_label, r.method) for r in rows) == [("pointcloud_case_1.csv", "grid"), ("pointcloud_case_1.csv", "random"), ("pointcloud_case_2.csv", "hybrid")]
+    assert all(r.coverage_ratio > 0.9 for r in rows) and {r.dataset for r in rows if r.m == 8} == {"own"}
+    with pytest.raises(SystemExit):
+        cli.main(["landmarks", "--builtin", "torus", "--m", "0", "--output", str(tmp_path / "x")])

@@ -47,6 +47,19 @@ def thin_by_range(points: DataFrame, full: float, seed: int) -> DataFrame:
     return points.where((far <= full) | (draw(key, seed) < (full / far) * (full / far)))
 
 
+def thin_by_distance(points: DataFrame, least: float, reach: float, seed: int) -> DataFrame:
+    """Keeps a point with a chance that falls with its distance from 1 to ``least``, on the scale of ``reach``."""
+    key = F.concat_ws(":", F.col("cloud_id").cast("string"), F.col("point_id").cast("string"))
+    return points.where(draw(key, seed) < least + (1 - least) * F.exp(-norm("coords") / reach))
+
+
+def ground_noise(points: DataFrame, sigma: float, seed: int) -> DataFrame:
+    """Normal noise on the height, the third coordinate, alone: uneven ground."""
+    key = F.concat_ws(":", F.col("cloud_id").cast("string"), F.col("point_id").cast("string"))
+    noise = sigma * F.sqrt(-2 * F.ln(draw(key, seed))) * F.cos(2 * math.pi * draw(key, seed + 1))
+    return points.withColumn("coords", F.transform("coords", lambda x, i: F.when(i == 2, x + noise).otherwise(x)))
+
+
 def voxel_density(points: DataFrame, cell: float) -> DataFrame:
     """Adds ``density``, the number of points in the same voxel of the cloud; counts are joined back, no group is gathered."""
     voxel = F.transform("coords", lambda x: F.floor(x / cell))
@@ -94,3 +107,9 @@ def cosine_loss(student: Column, teacher: Column, weight: Column | None = None)
     if weight is not None:
         student, teacher = (F.zip_with(v, weight, lambda x, w: x * F.sqrt(w)) for v in (student, teacher))
     return 1 - dot(student, teacher) / (norm(student) * norm(teacher) + 1e-12)
+
+
+def cross_view_loss(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(cloud_id, loss)`` between descriptors ``(cloud_id, vector)`` of two views of each cloud that has both."""
+    both = first.select("cloud_id", F.col("vector").alias("a")).join(second.select("cloud_id", F.col("vector").alias("b")), "cloud_id")
+    return both.select("cloud_id", cosine_loss(F.col("a"), F.col("b")).alias("loss"))

@@ -123,9 +123,16 @@ def ranked(neighbours: DataFrame) -> DataFrame:
     return rows.select("cloud_id", "point_id", (F.col("pos") + 1).alias("rank"), F.col("n.id").alias("target_id"), F.col("n.dist").alias("dist"))
 
 
-def kth_radius(points: DataFrame, k: int = 10) -> DataFrame:
+def nearest_others(points: DataFrame, k: int, near: DataFrame | None = None) -> DataFrame:
+    """The ``k`` nearest other points of each point; lists of at least as many, where they are there, are cut."""
+    if near is None:
+        return nearest(points, points, k, exclude_self=True)
+    return near.withColumn("neighbours", F.slice("neighbours", 1, k))
+
+
+def kth_radius(points: DataFrame, k: int = 10, near: DataFrame | None = None) -> DataFrame:
     """``(cloud_id, point_id, radius)``: distance to the k-th nearest other point, or the farthest there is; 0 for a lone point."""
-    near = nearest(points, points, k, exclude_self=True)
+    near = nearest_others(points, k, near)
     radius = F.element_at("neighbours", -1)["dist"]
     own = points.select("cloud_id", "point_id")
     return own.join(near, ["cloud_id", "point_id"], "left").select("cloud_id", "point_id", F.coalesce(radius, F.lit(0.0)).alias("radius"))
@@ -142,9 +149,9 @@ def to_unit(scores: DataFrame, score: str = "score") -> DataFrame:
     return scores.join(span, "cloud_id").withColumn(score, (F.col(score) - F.col("low")) / (F.col("high") - F.col("low") + 1e-12)).drop("low", "high")
 
 
-def neighbour_density(points: DataFrame, k: int = 10) -> DataFrame:
+def neighbour_density(points: DataFrame, k: int = 10, near: DataFrame | None = None) -> DataFrame:
     """``(cloud_id, point_id, score)``: inverse mean distance of the k nearest others, to [0, 1] within the cloud."""
-    near = nearest(points, points, k, exclude_self=True)
+    near = nearest_others(points, k, near)
     mean = F.aggregate("neighbours", F.lit(0.0), lambda s, n: s + n["dist"]) / F.size("neighbours")
     return to_unit(near.select("cloud_id", "point_id", (1.0 / (mean + 1e-12)).alias("score")))
 

@@ -157,13 +157,13 @@ def weighted_maxmin(points: DataFrame, weights: DataFrame, m: int) -> DataFrame:
     return greedy(points.join(weights.select("cloud_id", "point_id", "score"), ["cloud_id", "point_id"]), m, _weighted_maxmin, 0.0)
 
 
-def density(points: DataFrame, m: int, dim: int, c: float = 8, k: int = 15, alpha: float = 0.8, seed: int = 42) -> DataFrame:
+def density(points: DataFrame, m: int, dim: int, c: float = 8, k: int = 15, alpha: float = 0.8, seed: int = 42, near: DataFrame | None = None) -> DataFrame:
     """Density-weighted farthest points from candidates drawn by importance; sparse places weigh more.
 
     A cloud of n points has ``ceil(c * m * ln n)`` candidates; where that covers the cloud, all of
     it takes part and nothing is random.
     """
-    rho = knn.density_proxy(knn.kth_radius(points, k), dim)
+    rho = knn.density_proxy(knn.kth_radius(points, k, near), dim)
     scored = points.join(rho.withColumn("score", F.pow(1.0 / (F.col("rho") + 1e-12), F.lit(alpha))).drop("radius", "rho"), ["cloud_id", "point_id"])
     n = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
     budget = F.ceil(F.lit(c * m) * F.greatest(F.lit(1.0), F.ln(F.greatest(F.lit(2), F.col("n")).cast("double"))))
@@ -174,9 +174,9 @@ def density(points: DataFrame, m: int, dim: int, c: float = 8, k: int = 15, alph
     return greedy(chosen, m, _weighted_maxmin, alpha)
 
 
-def hybrid(points: DataFrame, m: int, alpha: float = 0.5, k: int = 10, bandwidth: float | None = None) -> DataFrame:
+def hybrid(points: DataFrame, m: int, alpha: float = 0.5, k: int = 10, bandwidth: float | None = None, near: DataFrame | None = None) -> DataFrame:
     """Blend of density (by neighbours, or by a kernel of ``bandwidth``) and distance."""
-    scores = knn.kernel_density(points, bandwidth) if bandwidth else knn.neighbour_density(points, k)
+    scores = knn.kernel_density(points, bandwidth) if bandwidth else knn.neighbour_density(points, k, near)
     return greedy(points.join(scores, ["cloud_id", "point_id"]), m, _hybrid_maxmin, alpha)
 
 
@@ -267,16 +267,19 @@ def radii_summary(points: DataFrame, k: int = 10) -> DataFrame:
     return mean.join(quantiles(radii, "radius", {"radius_median": 0.5}, ["cloud_id"]), "cloud_id")
 
 
-def select(points: DataFrame, method: str, m: int, seed: int, dim: int, alpha: float = 0.5, c: float = 8) -> DataFrame:
-    """Landmarks by the name of a method; a cloud of at most ``m`` points gives all of them."""
+def select(points: DataFrame, method: str, m: int, seed: int, dim: int, alpha: float = 0.5, c: float = 8, near: DataFrame | None = None) -> DataFrame:
+    """Landmarks by the name of a method; a cloud of at most ``m`` points gives all of them.
+
+    ``near``, lists of at least 15 nearest others, saves the methods that need such lists their own.
+    """
     if m < 1:
         raise ValueError("m must be at least 1")
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie in [0, 1]")
     methods: dict[str, Callable[[], DataFrame]] = {
         "random": lambda: random(points, m, seed),
-        "density": lambda: density(points, m, dim, c=c, seed=seed),
-        "hybrid": lambda: hybrid(points, m, alpha),
+        "density": lambda: density(points, m, dim, c=c, seed=seed, near=near),
+        "hybrid": lambda: hybrid(points, m, alpha, near=near),
         "quantum": lambda: sparse_cells(points, m, seed=seed),
         "grid": lambda: multi_grid(points, m, seed=seed),
         "lidar": lambda: lidar_sectors(points, m, seed=seed),

@@ -46,16 +46,17 @@ def first_neighbour(near: DataFrame) -> DataFrame:
     return near.select("cloud_id", "point_id", n["id"].alias("landmark_id"), n["dist"].alias("dist"))
 
 
-def coverage(points: DataFrame, landmarks: DataFrame, radius: float, landmark_bound: int | None = None, near: DataFrame | None = None) -> DataFrame:
+def coverage(points: DataFrame, landmarks: DataFrame, radius: float | DataFrame, landmark_bound: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """How well landmarks cover a cloud: mean and 95th percentile of distances, shares within a radius, plain and by intensity.
 
     ``coverage_weighted_p95`` pairs the sorted distances with the sorted weights by rank. A cloud
-    without landmarks has no row. Lists of nearest landmarks, where they are there, are used again.
+    without landmarks has no row. The radius is one number or a table ``(cloud_id, radius)``. Lists of nearest landmarks, where they are there, are used again.
     """
     dist = first_neighbour(near) if near is not None else nearest_landmark(points, landmarks, landmark_bound)
     rows = prepare.with_weights(points.select("cloud_id", "point_id", "intensity")).join(dist, ["cloud_id", "point_id"])
-    rows = cut_lineage(rows.select("cloud_id", "dist", "weight"))  # read by every statistic
-    inside = F.col("dist") <= radius
+    rows = rows.join(radius, "cloud_id") if isinstance(radius, DataFrame) else rows.withColumn("radius", F.lit(float(radius)))
+    rows = cut_lineage(rows.select("cloud_id", "dist", "weight", "radius"))  # read by every statistic
+    inside = F.col("dist") <= F.col("radius")
     plain = cut_lineage(rows.groupBy("cloud_id").agg(
         F.count("dist").alias("n"),
         F.avg("dist").alias("coverage_mean"),
@@ -136,10 +137,9 @@ def summary(points: DataFrame, landmarks: DataFrame, bars: DataFrame, radius: fl
     return cover.join(per_dim, "cloud_id").select("cloud_id", F.map_concat(flat, "diagram").alias("summary"))
 
 
-def percentile_radius(points: DataFrame, landmarks: DataFrame, percentile: float = 90.0) -> DataFrame:
-    """``(cloud_id, radius)``: a percentile of the distances to the nearest landmark, as a radius of coverage where none is given."""
-    dist = cut_lineage(nearest_landmark(points, landmarks))
-    return quantiles(dist, "dist", {"radius": percentile / 100}, ["cloud_id"])
+def suite_radius(diameter: Column) -> Column:
+    """The radius of coverage a suite takes where none is given: a part of the diameter before normalisation."""
+    return F.when((diameter > 0) & (diameter < float("inf")), 0.08 * diameter).otherwise(0.08)
 
 
 def to_vector(summaries: DataFrame, keys: list[str]) -> DataFrame:

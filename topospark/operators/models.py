@@ -147,34 +147,69 @@ def recurrent_step(net: Weights, x: np.ndarray, h: np.ndarray, c: np.ndarray) ->
     return o * np.tanh(c), c
 
 
-def predict_sequences(rows: DataFrame, net: Weights, stretch: int = 4096) -> DataFrame:
-    """Poses of ``(seq, frame, x)`` by the recurrent network, state reset at each ``stretch`` of frames so that no task holds more."""
-    shared = rows.sparkSession.sparkContext.broadcast(net)
-    kind = rows.schema["seq"].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame", kind="stable")
-        net = shared.value
-        h = c = np.zeros(len(net["wh"]))
-        t, q = [], []
-        for x in group["x"]:
-            h, c = recurrent_step(net, np.asarray(x, dtype=float), h, c)
-            raw = h @ net["q_w0"] + net["q_b0"]
-            t.append(h @ net["t_w0"] + net["t_b0"])
-            q.append(raw / (np.linalg.norm(raw) + 1e-12))
-        return pd.DataFrame({"seq": group["seq"], "frame": group["frame"], "translation": t, "quaternion": q})
-
-    dealt = rows.withColumn("part", F.floor(F.col("frame") / stretch))
-    return dealt.groupBy("seq", "part").applyInPandas(run, f"seq {kind}, frame int, translation array<double>, quaternion array<double>")
+def recurrent(inputs: int = 51, hidden: int = 256, layers: int = 2, seed: int = 0) -> Weights:
+    """Weights of the recurrent pose network: layers of memory cells, then heads on the change of the last state."""
+    rng = np.random.default_rng(seed)
+    net: Weights = {}
+    for layer in range(layers):
+        wide = inputs if layer == 0 else hidden
+        net |= {f"wx{layer}": rng.standard_normal((wide, 4 * hidden)) / np.sqrt(wide), f"wh{layer}": rng.standard_normal((hidden, 4 * hidden)) / np.sqrt(hidden), f"b{layer}": np.zeros(4 * hidden)}
+    return net | dense((hidden, 3), seed + 1, "t_") | dense((hidden, 4), seed + 2, "q_")
 
 
-def point_network(outputs: int = 51, sizes: tuple[int, ...] = (3, 64, 128, 256), seed: int = 0) -> Weights:
-    """Weights of a student network: points one by one, their maximum and mean, then a descriptor."""
-    return dense(sizes, seed, "point_") | dense((2 * sizes[-1], 128, outputs), seed + 1, "head_")
+def predict_sequences(rows: DataFrame, net: Weights) -> DataFrame:
+    """``(seq, frame, translation, quaternion)``: the pose from each frame of ``(seq, frame, x)`` to the next, by the recurrent network.
 
+    Rows stream through a task sequence by sequence in order, and the state goes on from batch to
+    batch, so a sequence may be of any length. The last frame of a sequence has no pose; a null
+    sequence is one of its own.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+    kind = rows.schema["seq"].dataType.simpleString()
+    layers = sum(k.startswith("wx") for k in net)
 
-def student_descriptors(points: DataFrame, net: Weights) -> DataFrame:
-    """``(cloud_id, vector array<double>)`` of clouds by the student network.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        parts = [{"wx": net[f"wx{i}"], "wh": net[f"wh{i}"], "b": net[f"b{i}"]} for i in range(layers)]
+        current, state, before, frame_before = object(), [], None, None
+        for batch in batches:
+            out: list[tuple] = []
+            seqs, frames = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for seq, frame, x in zip(seqs, frames, batch.column(2).to_pylist(), strict=True):
+                if seq != current:
+                    current, before = seq, None
+                    state = [(np.zeros(len(p["wh"])), np.zeros(len(p["wh"]))) for p in parts]
+                x = np.asarray(x, dtype=float)
+                for i, p in enumerate(parts):
+                    state[i] = recurrent_step(p, x, *state[i])
+                    x = state[i][0]
+                if before is not None:
+                    change = x - before
+                    q = change @ net["q_w0"] + net["q_b0"]
+                    out.append((seq, frame_before, (change @ net["t_w0"] + net["t_b0"]).tolist(), (q / (np.linalg.norm(q) + 1e-12)).tolist()))
+                before, frame_before = x, frame
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [batch.schema.field(0).type, pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())], strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["seq", "frame", "translation", "quaternion"])
+
+    ordered = rows.select("seq", F.col("frame").cast("int").alias("frame"), "x").repartition("seq").sortWithinPartitions("seq", "frame")
+    return ordered.mapInArrow(run, f"seq {kind}, frame int, translation array<double>, quaternion array<double>")
+
+
+# Layers of the two student networks, of the points and of the pooled cloud.
+STUDENTS = {"lite": ((3, 64, 128), (256, 128)), "large": ((3, 64, 128, 256), (512, 256, 128))}
+
+
+def student_network(kind: str = "lite", outputs: int = 51, seed: int = 0, mean: bool = False) -> Weights:
+    """Weights of a student network: points one by one, their maximum (with ``mean`` also their mean), then a descriptor."""
+    if kind not in STUDENTS:
+        raise ValueError(f"unknown student {kind!r}; there are {', '.join(STUDENTS)}")
+    point, head = STUDENTS[kind]
+    return dense(point, seed, "point_") | dense(((2 if mean else 1) * point[-1], *head, outputs), seed + 1, "head_")
+
+
+def student_descriptors(points: DataFrame, net: Weights, mean: np.ndarray | None = None, scale: np.ndarray | None = None) -> DataFrame:
+    """``(cloud_id, vector array<double>)`` of clouds by the student network, brought back from normal form by ``mean`` and ``scale``.
 
     Points pass the first layers in Arrow batches; maxima and sums by cloud are taken in each
     task and joined by Spark, so a cloud may be of any size.
@@ -203,7 +238,12 @@ def student_descriptors(points: DataFrame, net: Weights) -> DataFrame:
     def head(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             x = np.stack(frame["x"].to_numpy()) if len(frame) else np.zeros((0, 2 * width))
-            x = relu(x @ shared.value["head_w0"] + shared.value["head_b0"]) @ shared.value["head_w1"] + shared.value["head_b1"]
+            x = x[:, : len(shared.value["head_w0"])]  # a network that pools by the maximum takes the first half
+            last = sum(key.startswith("head_w") for key in shared.value) - 1
+            for i in range(last + 1):
+                x = x @ shared.value[f"head_w{i}"] + shared.value[f"head_b{i}"]
+                x = relu(x) if i < last else x
+            x = x * (1.0 if scale is None else scale) + (0.0 if mean is None else mean)
             yield pd.DataFrame({"cloud_id": frame["cloud_id"], "vector": list(x)})
 
     return wide.mapInPandas(head, f"cloud_id {kind}, vector array<double>")

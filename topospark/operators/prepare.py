@@ -145,13 +145,18 @@ def require_points(points: DataFrame, least: int) -> DataFrame:
     return checked.where(F.col("__ok").isNull()).drop("__n", "__ok")
 
 
-def voxels_to_world(voxels: DataFrame, affine: list[list[float]]) -> DataFrame:
-    """Points of voxels ``(cloud_id, i, j, k, value)`` under a 4x4 affine; the value becomes the intensity."""
-    at = [sum((F.lit(float(affine[r][c])) * F.col("ijk"[c]) for c in range(3)), F.lit(float(affine[r][3]))) for r in range(3)]
+def voxels_to_world(voxels: DataFrame, affine: list[list[float]] | None = None) -> DataFrame:
+    """Points of voxels ``(cloud_id, voxel_id, ijk or i, j, k, value)`` under a 4x4 affine; the value becomes the intensity.
+
+    Without one the column ``affine`` (16 numbers by row) of each volume holds.
+    """
+    entry = lambda r, c: F.element_at("affine", 4 * r + c + 1) if affine is None else F.lit(float(affine[r][c]))
+    place = lambda c: F.get("ijk", F.lit(c)) if "ijk" in voxels.columns else F.col("ijk"[c])
+    at = [sum((entry(r, c) * place(c) for c in range(3)), entry(r, 3)) for r in range(3)]
     return voxels.select("cloud_id", F.col("voxel_id").alias("point_id"), F.array(*at).alias("coords"), F.col("value").alias("intensity"))
 
 
-def volume_to_cloud(voxels: DataFrame, affine: list[list[float]], percentile: float, max_points: int, seed: int, threshold: float | None = None) -> DataFrame:
+def volume_to_cloud(voxels: DataFrame, affine: list[list[float]] | None, percentile: float, max_points: int, seed: int, threshold: float | None = None) -> DataFrame:
     """A volume as a cloud: masked, placed in the world, each axis to [0, 1], sampled by intensity, shifted above 0."""
     placed = cut_lineage(voxels_to_world(voxels, affine))  # each step reads its input several times
     cloud = cut_lineage(intensity_mask(placed, threshold, percentile))

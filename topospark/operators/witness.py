@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topospark.operators import knn
+from topospark.operators import knn, prepare
 
+WITNESS_SEED = 42  # the same witnesses whatever the seed of a run
 
-def witness_complex(points: DataFrame, landmarks: DataFrame, k: int = 8, max_dim: int = 2, max_filtration: float | None = None, landmark_bound: int | None = None) -> DataFrame:
+
+def witness_complex(points: DataFrame, landmarks: DataFrame, k: int = 8, max_dim: int = 2, max_filtration: float | None = None, landmark_bound: int | None = None, max_witnesses: int | None = None) -> DataFrame:
     """Simplices ``(cloud_id, dim, v0, v1, v2, filtration)`` with v0 < v1 < v2, null beyond the dimension.
 
     A simplex is there if some witness has all its vertices among its ``k`` nearest landmarks;
     it enters at the least, over those witnesses, of the largest distance to a vertex. Vertices
     enter at 0. Lists are in order of distance, so the largest distance is that of the last
     vertex; minima are taken map-side before the only shuffle, a filtration limit before them.
+    With ``max_witnesses`` at most so many drawn points of a cloud are witnesses; a landmark that
+    none of them sees is no vertex.
     """
     at = points.join(landmarks.select("cloud_id", "point_id"), ["cloud_id", "point_id"], "left_semi")
-    near = knn.nearest(points, at, k, target_bound=landmark_bound)
+    witnesses = points if max_witnesses is None else prepare.sample(points, max_witnesses, WITNESS_SEED)
+    near = knn.nearest(witnesses, at, k, target_bound=landmark_bound)
     return complex_of(near, max_dim, max_filtration)
 
 

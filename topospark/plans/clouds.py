@@ -330,3 +330,8 @@ def knn_with_ties(spark: SparkSession, folder: str) -> DataFrame:
     pts = tables.parts(spark, folder)
     near = knn.ranked(knn.nearest(pts, metrics.landmark_points(pts, _landmarks(pts, 64)), 3, target_bound=64))
     return near.select("point_id", "rank", F.col("target_id").alias("other"), r6("dist"))
+
+
+@query(f"WITH {EMBEDDINGS_SQL}, {SELF_SQL} SELECT cloud_id, round(avg(dist), 6) AS radius_mean, round(quantile_cont(dist, 0.5), 6) AS radius_median FROM nn WHERE rank = 10 GROUP BY cloud_id")
+def radii_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return landmarks.radii_summary(tables.embeddings(spark, folder), 10).select("cloud_id", r6("radius_mean"), r6("radius_median"))

@@ -149,14 +149,57 @@ def bottleneck(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def benchmark_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return pipeline.run(tables.embeddings(spark, folder), ["random", "density", "hybrid"], m=12, dim=64, k=4, max_dim=1, radius=0.9, seed=42, rips_points=30)
+    return pipeline.run(tables.embeddings(spark, folder), ["random", "density", "hybrid"], m=64, dim=64, k=8, max_dim=1, radius=0.9, seed=42, rips_points=400)
 
 
-@query()
-def lidar_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The suite on the three-dimensional clouds of scans, with the landmark methods made for them."""
+def _scans(spark: SparkSession, folder: str) -> DataFrame:
+    """The three-dimensional clouds of scans."""
     df = tables.read(spark, folder, "cloud_points")
     whole = (F.size("coords") == 3) & F.forall("coords", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fair = F.when((F.col("intensity") >= 0) & (F.col("intensity") < float("inf")), F.col("intensity")).otherwise(0.0)
-    pts = df.where(whole & F.col("point_id").isNotNull()).groupBy("cloud_id", "point_id").agg(F.min("coords").alias("coords"), F.min(fair).alias("intensity"))
-    return pipeline.run(pts, ["lidar", "quantum", "grid"], m=8, dim=3, k=8, max_dim=2, radius=1.0, seed=42, rips_points=0)
+    return df.where(whole & F.col("point_id").isNotNull()).groupBy("cloud_id", "point_id").agg(F.min("coords").alias("coords"), F.min(fair).alias("intensity"))
+
+
+@query()
+def lidar_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The suite on the clouds of scans, with the landmark methods made for them."""
+    return pipeline.run(_scans(spark, folder), ["lidar", "quantum", "grid"], m=128, dim=3, k=8, max_dim=1, radius=1.0, seed=42, rips_points=200)
+
+
+@query()
+def suite_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Two cases of a suite over the same scans, with radii from their diameters."""
+    cases = [{"methods": "hybrid", "m": 64, "max_points": 500, "output": "hybrid"}, {"methods": "grid,random", "m": 32, "max_dim": 2, "k_witness": 6, "output": "others"}]
+    return pipeline.suite(cases, lambda case: _scans(spark, folder))
+
+
+@query(f"""WITH {EMBEDDINGS_SQL}, {LANDMARKS_SQL}, drawn AS (
+  SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY md5('42:' || point_id), point_id) <= 20),
+nn AS (
+  SELECT p.cloud_id, p.point_id, l.point_id AS target_id, list_distance(p.coords, l.coords) AS dist,
+    row_number() OVER (PARTITION BY p.cloud_id, p.point_id ORDER BY list_distance(p.coords, l.coords), l.point_id) AS place
+  FROM drawn p JOIN lm l ON p.cloud_id = l.cloud_id QUALIFY place <= {K})
+SELECT a.cloud_id, least(a.target_id, b.target_id) AS v0, greatest(a.target_id, b.target_id) AS v1, round(min(b.dist), 6) AS filtration
+FROM nn a JOIN nn b ON a.cloud_id = b.cloud_id AND a.point_id = b.point_id AND a.place < b.place GROUP BY ALL""")
+def witness_subsample(spark: SparkSession, folder: str) -> DataFrame:
+    return _complex(spark, folder, max_dim=1, max_witnesses=20).where("dim = 1").select("cloud_id", "v0", "v1", r6("filtration"))
+
+
+@query(f"""WITH {EMBEDDINGS_SQL}, axes AS (SELECT cloud_id, unnest(coords) AS x, unnest(range(len(coords))) AS axis FROM pts),
+span AS (SELECT cloud_id, axis, max(x) - min(x) AS s FROM axes GROUP BY ALL)
+SELECT cloud_id, round(CASE WHEN sum(s * s) > 0 THEN 0.08 * sqrt(sum(s * s)) ELSE 0.08 END, 6) AS radius FROM span GROUP BY cloud_id""")
+def suite_radius(spark: SparkSession, folder: str) -> DataFrame:
+    box = prepare.bounds(tables.embeddings(spark, folder))
+    return box.select("cloud_id", F.round(metrics.suite_radius(F.col("diameter")), 6).alias("radius"))
+
+
+@query()
+def volume_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The volume experiment under both presets: counts of order lines by quantity, discount and tax as a volume."""
+    i, j, k = F.col("l_quantity").cast("int"), F.rint(F.col("l_discount") * 100).cast("int"), F.rint(F.col("l_tax") * 100).cast("int")
+    voxels = tables.read(spark, folder, "lineitem").groupBy(F.array(i, j, k).alias("ijk")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    at = lambda n: F.get("ijk", F.lit(n))
+    voxels = voxels.select(F.lit("lines").alias("cloud_id"), ((at(0) * 100 + at(1)) * 100 + at(2)).cast("bigint").alias("voxel_id"), "ijk", "value")
+    eye = [[1.0, 0, 0, 0], [0, 4.0, 0, 0], [0, 0, 5.0, 0]]
+    runs = [pipeline.volume_run(voxels, eye, ["random", "hybrid"], preset, 48, 4000, 0.1, 7, rips_points=60).withColumn("preset", F.lit(preset)) for preset in ("standard", "fast")]
+    return runs[0].unionByName(runs[1], allowMissingColumns=True)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topospark.operators import augment, metrics, prepare
-from topospark.plans import tables
+from topospark.operators import augment, metrics, models, prepare
+from topospark.plans import pipeline, tables
 from topospark.plans.clouds import r6
 from topospark.plans.tables import EMBEDDINGS_SQL, EVENTS_SQL
 
@@ -83,3 +83,62 @@ def vector_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
     found = metrics.features_from_vector(tda_feature_vector(spark, folder))
     return found.select("cloud_id", "n_points", "n_landmarks", "betti_0", "betti_1", "betti_2", r6("coverage_mean"))
+
+
+DRAWN = "(CAST('0x' || substr(md5('{seed}:' || cloud_id || ':' || point_id), 1, 8) AS UBIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {EVENTS_SQL}
+SELECT cloud_id, point_id, round(coords[3] + 0.05 * sqrt(-2 * ln({DRAWN.format(seed=4)})) * cos(2 * pi() * {DRAWN.format(seed=5)}), 6) AS height FROM pts""")
+def ground_noise(spark: SparkSession, folder: str) -> DataFrame:
+    rows = augment.ground_noise(tables.events(spark, folder), 0.05, 4)
+    return rows.select("cloud_id", "point_id", F.round(F.element_at("coords", 3), 6).alias("height"))
+
+
+@query(f"""WITH {EVENTS_SQL}
+SELECT cloud_id, point_id FROM pts WHERE round({DRAWN.format(seed=6)} - 0.8 - 0.2 * exp(-sqrt(list_sum(list_transform(coords, lambda x: x * x))) / 40000), 12) < 0""")
+def thin_by_distance(spark: SparkSession, folder: str) -> DataFrame:
+    return augment.thin_by_distance(tables.events(spark, folder), 0.8, 40000, 6).select("cloud_id", "point_id")
+
+
+@query(f"""WITH {EMBEDDINGS_SQL}, mean AS (SELECT cloud_id, point_id % 2 AS side, axis, avg(x) AS m FROM (SELECT cloud_id, point_id, unnest(coords) AS x, unnest(range(64)) AS axis FROM pts) GROUP BY ALL),
+view AS (SELECT cloud_id, side, list(m ORDER BY axis) AS v FROM mean GROUP BY cloud_id, side)
+SELECT a.cloud_id, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-12), 6) AS loss
+FROM view a JOIN view b ON a.cloud_id = b.cloud_id AND a.side = 0 AND b.side = 1""")
+def cross_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean vectors of the even and the odd points of a cloud as its two views."""
+    axes = tables.embeddings(spark, folder).select("cloud_id", (F.col("point_id") % 2).alias("side"), F.posexplode("coords").alias("axis", "x"))
+    means = axes.groupBy("cloud_id", "side", "axis").agg(F.avg("x").alias("m")).groupBy("cloud_id", "side")
+    views = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("axis", "m"))), lambda a: a["m"]).alias("vector"))
+    loss = augment.cross_view_loss(views.where("side = 0"), views.where("side = 1"))
+    return loss.select("cloud_id", r6("loss"))
+
+
+def _scans(spark: SparkSession, folder: str) -> DataFrame:
+    df = tables.read(spark, folder, "cloud_points")
+    whole = (F.size("coords") == 3) & F.forall("coords", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(whole).select("cloud_id", "point_id", "coords", F.lit(1.0).alias("intensity"))
+
+
+@query()
+def student_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Descriptors of all scans by an untrained student network."""
+    return models.student_descriptors(_scans(spark, folder), models.student_network("lite")).select("cloud_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query()
+def recurrent_poses(spark: SparkSession, folder: str) -> DataFrame:
+    """Poses along all sequences by an untrained recurrent network, from the numbers of each frame."""
+    names = ["betti_0", "betti_1", "betti_2", "coverage_mean", "coverage_p95"]
+    df = tables.read(spark, folder, "tda_features").where("seq is not null and frame is not null")
+    frames = df.groupBy("seq", "frame").agg(F.array(*[F.coalesce(F.avg(F.nanvl(F.col(c).cast("double"), F.lit(0.0))), F.lit(0.0)) for c in names]).alias("x"))
+    poses = models.predict_sequences(frames, models.recurrent(len(names), 16, 2))
+    return poses.select("seq", "frame", F.transform("translation", lambda x: F.round(x, 6)).alias("translation"), F.transform("quaternion", lambda x: F.round(x, 6)).alias("quaternion"))
+
+
+@query()
+def frame_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    """Scans as the frames of one sequence a number of points: descriptors, scores and where the teacher steps in."""
+    frames = _scans(spark, folder).select((F.col("cloud_id") % 4).cast("int").alias("seq"), F.col("cloud_id").cast("int").alias("frame"), "point_id", "coords", "intensity")
+    rows = pipeline.diagnostics(frames, m=32, k=6, dim=3, seed=5, student=models.student_network("lite"))
+    return rows.select("seq", "frame", "used_teacher", "fallback_count", *[F.round(c, 5).alias(c) for c in ("sheaf_score", "variance_score", "signal_strength", "topo_density")])

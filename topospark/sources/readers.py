@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS = 65536
@@ -171,8 +171,8 @@ def read_npy(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
 
 
 def read_ply(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Vertices of ASCII PLY files, one cloud a file."""
-    return _decode(_files(spark, path, "*.ply", limit), decode_ply)
+    """Vertices of ASCII PLY files, one cloud a file; also of folders that ``write_ply`` wrote."""
+    return _decode(_files(spark, path, "*.{ply,txt}", limit), decode_ply)
 
 
 def ply_of_archive(content: bytes, member: str) -> bytes:
@@ -188,8 +188,14 @@ def read_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """Points of comma-separated files without header, ``columns`` numbers a line; a line of other length or content is null there."""
     schema = ", ".join(f"c{i} double" for i in range(columns))
     rows = spark.read.option("recursiveFileLookup", "true").csv(path, schema=schema)
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("point_id"), F.array(*[f"c{i}" for i in range(columns)]).alias("coords"))
-    return rows.select("path", "point_id", "coords", F.lit(1.0).alias("intensity"))
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.array(*[f"c{i}" for i in range(columns)]).alias("coords"))
+    # lines are numbered by file, from counts of the blocks before and the place in the block, however the blocks are cut
+    blocks = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
+    numbered = rows.withColumn("point_id", within).join(blocks, ["path", "block"])
+    return numbered.select("path", (F.col("before") + F.col("point_id")).alias("point_id"), "coords", F.lit(1.0).alias("intensity"))
 
 
 def infer_format(path: str) -> str:
@@ -206,7 +212,7 @@ def read_cloud(spark: SparkSession, path: str, file_format: str | None = None, c
     kind = file_format or infer_format(path)
     readers = {"npy": read_npy, "ply": read_ply, "velodyne": read_velodyne, "csv": lambda s, p: read_csv(s, p, columns)}
     if kind not in readers:
-        raise ValueError(f"{kind} is no format of clouds")
+        raise ValueError(f"{kind} is no format of clouds; volumes are read by read_volumes")
     return readers[kind](spark, path)
 
 

@@ -24,13 +24,16 @@ def combine(runs: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_ply(points: DataFrame, path: str) -> None:
-    """The points of a three-dimensional cloud as ASCII PLY, six decimals: a folder of text parts after a header part."""
+    """The points of a three-dimensional cloud as one ASCII PLY file, six decimals, in a folder.
+
+    Header and body are rows of one table in one order, so they come out as one file.
+    """
     n = points.count()
     head = ["ply", "format ascii 1.0", f"element vertex {n}", *(f"property float {a}" for a in "xyz"), "end_header"]
-    lines = points.orderBy("point_id").select(F.format_string("%.6f %.6f %.6f", *[F.element_at("coords", i) for i in (1, 2, 3)]).alias("value"))
-    spark = points.sparkSession
-    spark.createDataFrame([(line,) for line in head], "value string").coalesce(1).write.mode("overwrite").text(path)
-    lines.write.mode("append").text(path)
+    header = points.sparkSession.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "part int, value string").select("part", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), "value")
+    line = F.format_string("%.6f %.6f %.6f", *[F.element_at("coords", i) for i in (1, 2, 3)])
+    body = points.select(F.lit(0).alias("part"), "point_id", line.alias("value"))
+    header.unionByName(body).repartition(1).sortWithinPartitions("part", "point_id").select("value").write.mode("overwrite").text(path)
 
 
 def write_points(points: DataFrame, path: str) -> None:
@@ -39,7 +42,7 @@ def write_points(points: DataFrame, path: str) -> None:
 
 
 def write_landmark_indices(landmarks: DataFrame, path: str) -> None:
-    """The ids of one cloud's landmarks in rank order as a ``.npy`` file; landmarks are bounded by their budget."""
+    """The ids of one cloud's landmarks in rank order as a ``.npy`` file on the driver's disk; landmarks are bounded by their budget."""
     ids = [row.point_id for row in landmarks.orderBy("rank").select("point_id").collect()]
     np.save(path, np.array(ids, dtype=np.int64))
 

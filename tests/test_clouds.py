@@ -120,3 +120,24 @@ def test_ranks_among_many_equal_values(spark):
     for c, v in values.items():
         assert ranks[c] == int(np.argmax(np.round(np.cumsum(np.sort(v)), 12) > 0.95)) + 1
         assert all(abs(found[c][n] - np.quantile(v, p)) < 1e-12 for n, p in shares.items())
+
+
+def test_pruned_neighbours_equal_brute_force(spark, monkeypatch):
+    from topospark.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    # a crowd, a spread, copies on a lattice (ties), one stray; a small cloud; one with targets but few points
+    x = np.concatenate([rng.standard_normal((300, 3)) * 0.01, rng.random((200, 3)) * 5, rng.integers(0, 3, (150, 3)) * 1.0, [[90.0, 0, 0]]])
+    rows = [("big", i, v.tolist()) for i, v in enumerate(x)] + [("small", i, [float(i), 0.0, 0.0]) for i in range(5)] + [("big", 9999, None)]
+    pts = spark.createDataFrame(rows, "cloud_id string, point_id bigint, coords array<double>")
+    d2 = knn.squared_distances(x, x)
+    for own in (True, False):
+        got = {(r.cloud_id, r.point_id): [(n.dist, n.id) for n in r.neighbours] for r in knn.nearest(pts, pts, 6, exclude_self=own).collect()}
+        for i in range(len(x)):
+            true = sorted((float(np.sqrt(d2[i, j])), j) for j in range(len(x)) if not (own and i == j))[:6]
+            assert got["big", i] == true
+        assert len(got["small", 0]) == (4 if own else 5) and ("big", 9999) not in got
+    few = spark.createDataFrame([("big", -1, [1000.0, 1000.0, 1000.0])], "cloud_id string, point_id bigint, coords array<double>")
+    far = knn.nearest(few, pts, 3).first()
+    assert np.allclose([n.dist for n in far.neighbours], sorted(np.sqrt(((x - 1000) ** 2).sum(1)))[:3], rtol=1e-12)

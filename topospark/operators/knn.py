@@ -1,19 +1,22 @@
 """Distance joins: nearest landmarks, nearest neighbours, density.
 
-Points and targets of a cloud meet in blocks: a block of a cloud is at most ``BLOCK`` rows, so a
-cloud of any size is spread over many tasks and neither side is broadcast.
+Points and targets of a cloud meet in blocks of about ``BLOCK`` rows, so a cloud of any size is
+spread over many tasks and neither side is broadcast. Blocks of a large cloud are cells of a grid.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topospark.functions.vectors import distance
+from topospark.session import cut_lineage
 
 BLOCK = 8192
+AXES = 3  # axes of the grid over a large cloud
+EDGES = 256  # quantiles of an axis of which its edges are taken
 CHUNK = 1 << 22  # distances held at once
 
 
@@ -53,26 +56,104 @@ def k_smallest(d2: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :k]
 
 
+def _grids(t: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(cloud_id, grid)``: for the axes of widest spread the edges of equally filled bins, so that a cell holds about a block of targets."""
+    axes = t.select("cloud_id", F.posexplode("at").alias("axis", "x")).groupBy("cloud_id", "axis")
+    axes = axes.agg(F.stddev_pop("x").alias("s"), F.percentile_approx("x", [i / EDGES for i in range(1, EDGES)], 10_000).alias("q"))
+    widest = F.row_number().over(Window.partitionBy("cloud_id").orderBy(F.col("s").desc(), "axis"))
+    axes = axes.withColumn("r", widest).where(F.col("r") <= AXES).groupBy("cloud_id").agg(F.collect_list(F.struct("axis", "q")).alias("axes"))
+    side = F.least(F.lit(EDGES), F.ceil(F.pow(F.col("t_n") / BLOCK, 1 / F.size("axes")))).cast("int")
+    grid = axes.join(sizes.select("cloud_id", "t_n"), "cloud_id").withColumn("side", side)
+    inner = lambda q: F.when(F.col("side") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("side") - 1)), lambda j: F.get(q, F.floor(j * EDGES / F.col("side")).cast("int") - 1))).otherwise(F.array().cast("array<double>"))
+    return grid.select("cloud_id", F.transform("axes", lambda a: F.struct(a["axis"].alias("axis"), inner(a["q"]).alias("edges"))).alias("grid"))
+
+
+def _pruned(p: DataFrame, t: DataFrame, sizes: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
+    """Points and targets of large clouds under the blocks ``(cloud_id, pb, tb)`` in which a neighbour can lie.
+
+    Targets lie in the cells of a grid, a crowded cell in several blocks. The ``k``-th distance
+    within a block of a point's own cell bounds what can be nearer; the point goes to the cells
+    whose box comes within that bound and to no others, so its copies do not grow with the
+    number of blocks where neighbours are near.
+    """
+    grids = cut_lineage(_grids(t, sizes))
+    bin_of = lambda g, x: F.size(F.filter(g["edges"], lambda e: e <= x))
+    cell_of = lambda c: F.transform("grid", lambda g: bin_of(g, F.element_at(c, g["axis"] + 1)))
+    p = cut_lineage(p.join(grids, "cloud_id").withColumn("cell", cell_of("coords")))
+    t = cut_lineage(t.join(grids, "cloud_id").withColumn("cell", cell_of("at")).drop("grid"))
+    held = p.groupBy("cloud_id", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("p_parts"))
+    ends = t.select("cloud_id", "cell", "target_id", F.posexplode("at").alias("axis", "x")).groupBy("cloud_id", "cell", "axis")
+    ends = ends.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
+    cells = ends.groupBy("cloud_id", "cell").agg(F.sort_array(F.collect_list(F.struct("axis", "low", "high"))).alias("box"), F.ceil(F.max("n") / BLOCK).cast("int").alias("t_parts"))
+    cells = cut_lineage(cells.join(held, ["cloud_id", "cell"], "left").fillna(1, ["p_parts"]))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    name = lambda tb: F.concat_ws(",", F.transform("cell", lambda i: i.cast("string")), tb.cast("string"))
+    parts_of = cells.select("cloud_id", "cell", "t_parts", "p_parts")
+    # first bound: one block of the own cell
+    mine = p.join(parts_of, ["cloud_id", "cell"]).select("cloud_id", "point_id", "coords", part("point_id", "p_parts").alias("pb"), name(part("point_id", "t_parts")).alias("tb"))
+    blocks = cut_lineage(t.join(parts_of, ["cloud_id", "cell"]).select("cloud_id", "target_id", "at", "p_parts", name(part("target_id", "t_parts")).alias("tb")))
+    right = blocks.withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("p_parts") - 1))).drop("p_parts")
+    first = _blocks(mine, right, k, exclude_self).where(F.size("neighbours") >= k)
+    bound = first.select("cloud_id", "point_id", F.element_at("neighbours", k)["dist"].alias("bound"))
+    p = cut_lineage(p.join(bound, ["cloud_id", "point_id"], "left"))
+    # a cell with fewer than k targets gives no bound; k drawn targets of the cloud always do
+    if not p.where("bound is null").isEmpty():
+        place = F.row_number().over(Window.partitionBy("cloud_id").orderBy(F.xxhash64("target_id"), "target_id"))
+        drawn = t.withColumn("r", place).where(F.col("r") <= k + 1).select("cloud_id", F.col("target_id").alias("point_id"), F.col("at").alias("coords"))
+        far = nearest_of_few(p.where("bound is null").select("cloud_id", "point_id", "coords"), drawn, k + 1)
+        far = far.select("cloud_id", "point_id", F.array_max(F.transform("neighbours", lambda n: n["dist"])).alias("far"))
+        p = p.join(far, ["cloud_id", "point_id"], "left").withColumn("bound", F.coalesce("bound", "far")).drop("far")
+    reach = F.col("bound") * (1 + 1e-9)
+    span = lambda i: F.sequence(bin_of(F.get("grid", F.lit(i)), at(i) - reach), bin_of(F.get("grid", F.lit(i)), at(i) + reach))
+    at = lambda i: F.element_at("coords", F.get("grid", F.lit(i))["axis"] + 1)
+    combined = F.transform(span(0), lambda a: F.array(a))
+    widths = p.select(F.max(F.size("grid"))).first()[0] or 0  # one number
+    for i in range(1, widths):
+        wider = lambda base, i=i: F.flatten(F.transform(base, lambda c: F.transform(span(i), lambda b: F.concat(c, F.array(b)))))
+        combined = F.when(F.size("grid") > i, wider(combined)).otherwise(combined)
+    visits = p.withColumn("cell", F.explode(combined)).select("cloud_id", "point_id", "coords", "bound", "cell").join(cells, ["cloud_id", "cell"])
+    gap = lambda x, b: F.greatest(b["low"] - x, x - b["high"], F.lit(0.0))
+    apart = F.sqrt(F.aggregate(F.zip_with("coords", "box", gap), F.lit(0.0), lambda s, g: s + g * g))
+    visits = visits.where(apart <= reach).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("t_parts") - 1)))
+    left = visits.select("cloud_id", "point_id", "coords", part("point_id", "p_parts").alias("pb"), name(F.col("tb")).alias("tb"))
+    return left, right
+
+
 def nearest(points: DataFrame, targets: DataFrame, k: int, exclude_self: bool = False, target_bound: int | None = None) -> DataFrame:
     """``(cloud_id, point_id, neighbours array<struct<dist, id>>)``: the ``k`` nearest targets of each point of its cloud.
 
     Neighbours are in order of (distance, id); with ``exclude_self`` a target with the point's own
-    id does not count. A point whose cloud has no targets has no row. ``target_bound``, where it is
-    known, saves the merge over several blocks of targets.
+    id does not count. A point whose cloud has no targets has no row. The targets of a cloud of up
+    to ``BLOCK`` are one block and nothing is merged; those of a larger cloud lie in a grid and a
+    point meets only the cells in which a neighbour can lie, with the same result. ``target_bound``,
+    where it is known, saves the counting.
     """
     p = points.select("cloud_id", "point_id", "coords").where("coords is not null")
     t = targets.select("cloud_id", F.col("point_id").alias("target_id"), F.col("coords").alias("at")).where("at is not null")
-    p_blocks = p.groupBy("cloud_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("p_blocks"))
-    if target_bound is not None and target_bound <= BLOCK:
-        sizes = p_blocks.withColumn("t_blocks", F.lit(1))
-    else:
-        sizes = p_blocks.join(t.groupBy("cloud_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("t_blocks")), "cloud_id")
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = p.join(sizes, "cloud_id").withColumn("pb", spread("point_id", "p_blocks")).withColumn("tb", every("t_blocks"))
-    right = t.join(sizes, "cloud_id").withColumn("tb", spread("target_id", "t_blocks")).withColumn("pb", every("p_blocks"))
-    left, right = _sides(left.drop("p_blocks", "t_blocks"), right.drop("p_blocks", "t_blocks"))
-    schema = f"cloud_id {points.schema['cloud_id'].dataType.simpleString()}, point_id {points.schema['point_id'].dataType.simpleString()}, neighbours array<struct<dist: double, id: {targets.schema['point_id'].dataType.simpleString()}>>"
+    sizes = None
+    if target_bound is None or target_bound > BLOCK:
+        sizes = cut_lineage(t.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("t_n")))
+        if sizes.where(F.col("t_n") > BLOCK).isEmpty():
+            sizes = None
+    small_p, small_t = p, t
+    if sizes is not None:
+        large = sizes.where(F.col("t_n") > BLOCK)
+        small_p, small_t = (df.join(large, "cloud_id", "left_anti") for df in (p, t))
+        left, right = _pruned(p.join(large, "cloud_id", "left_semi"), t.join(large, "cloud_id", "left_semi"), large, k, exclude_self)
+        found = _blocks(left, right, k, exclude_self)
+        merged = found.groupBy("cloud_id", "point_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("neighbours"))), 1, k).alias("neighbours"))
+    p_blocks = small_p.groupBy("cloud_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("p_blocks"))
+    left = small_p.join(p_blocks, "cloud_id").select("cloud_id", "point_id", "coords", F.pmod(F.xxhash64("point_id"), F.col("p_blocks")).cast("int").alias("pb"), F.lit("").alias("tb"))
+    right = small_t.join(p_blocks, "cloud_id").withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1))).select("cloud_id", "target_id", "at", "pb", F.lit("").alias("tb"))
+    rows = _blocks(left, right, k, exclude_self)
+    return (rows if sizes is None else rows.unionByName(merged)).where(F.size("neighbours") > 0)
+
+
+def _blocks(left: DataFrame, right: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The ``k`` nearest targets of each point within every block ``(cloud_id, pb, tb)``."""
+    points, targets = left, right
+    left, right = _sides(left, right)
+    schema = f"cloud_id {points.schema['cloud_id'].dataType.simpleString()}, point_id {points.schema['point_id'].dataType.simpleString()}, neighbours array<struct<dist: double, id: {targets.schema['target_id'].dataType.simpleString()}>>"
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = _matrix(a.column("l_coords")), _matrix(b.column("r_at"))
@@ -98,11 +179,7 @@ def nearest(points: DataFrame, targets: DataFrame, k: int, exclude_self: bool =
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
         return pa.table({"cloud_id": a.column("l_cloud_id"), "point_id": a.column("l_point_id"), "neighbours": lists})
 
-    parts = _meet(left, right).applyInArrow(run, schema)
-    if target_bound is not None and target_bound <= BLOCK:
-        return parts.where(F.size("neighbours") > 0)
-    merged = parts.groupBy("cloud_id", "point_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("neighbours"))), 1, k).alias("neighbours"))
-    return merged.where(F.size("neighbours") > 0)
+    return _meet(left, right).applyInArrow(run, schema)
 
 
 def nearest_of_few(points: DataFrame, targets: DataFrame, k: int) -> DataFrame:

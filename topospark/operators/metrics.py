@@ -107,9 +107,9 @@ def landmark_geometry(points: DataFrame, landmarks: DataFrame) -> DataFrame:
     return at.select("cloud_id").distinct().join(stats, "cloud_id", "left").fillna(0.0)
 
 
-def witness_spread(points: DataFrame, landmarks: DataFrame, k: int) -> DataFrame:
+def witness_spread(points: DataFrame, landmarks: DataFrame, k: int, near: DataFrame | None = None) -> DataFrame:
     """Mean and standard deviation, over the points, of the mean distance to their ``k`` nearest landmarks."""
-    near = knn.nearest(points, landmark_points(points, landmarks), k)
+    near = near if near is not None else knn.nearest(points, landmark_points(points, landmarks), k)
     mean = F.aggregate("neighbours", F.lit(0.0), lambda s, n: s + n["dist"]) / F.size("neighbours")
     return near.select("cloud_id", mean.alias("mean")).groupBy("cloud_id").agg(F.avg("mean").alias("witness_mean"), F.stddev_pop("mean").alias("witness_std"))
 
@@ -160,15 +160,20 @@ def lifetime_slots(bars: DataFrame, clouds: DataFrame) -> DataFrame:
     return rows.select("cloud_id", "dim", F.concat(filled, F.array("mean", "std")).alias("slots"), "finite")
 
 
-def feature_vector(points: DataFrame, landmarks: DataFrame, bars: DataFrame, k: int, m: int) -> DataFrame:
-    """``(cloud_id, vector array<float>)`` of 51 slots: lifetimes of three dimensions, counts of finite bars, coverage, geometry, witnesses, size."""
+def feature_vector(points: DataFrame, landmarks: DataFrame, bars: DataFrame, k: int, m: int, near: DataFrame | None = None) -> DataFrame:
+    """``(cloud_id, vector array<float>)`` of 51 slots: lifetimes of three dimensions, counts of finite bars, coverage, geometry, witnesses, size.
+
+    ``near``, the lists of ``k`` nearest landmarks that the complex was made of, is used again if given.
+    """
+    if near is None:
+        near = cut_lineage(knn.nearest(points, landmark_points(points, landmarks), k, target_bound=m))
     slots = lifetime_slots(bars, points)
     by_dim = slots.groupBy("cloud_id").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("dim", "slots"))), lambda s: s["slots"])).alias("lives"),
         F.transform(F.sort_array(F.collect_list(F.struct("dim", "finite"))), lambda s: s["finite"].cast("double")).alias("counts"),
     )
     n = points.groupBy("cloud_id").agg(F.log10(F.count(F.lit(1)) + 1).alias("log_n"))
-    rows = by_dim.join(spread(points, landmarks), "cloud_id").join(landmark_geometry(points, landmarks), "cloud_id").join(witness_spread(points, landmarks, k), "cloud_id").join(n, "cloud_id")
+    rows = by_dim.join(spread(points, landmarks, near), "cloud_id").join(landmark_geometry(points, landmarks), "cloud_id").join(witness_spread(points, landmarks, k, near), "cloud_id").join(n, "cloud_id")
     tail = ["coverage_mean", "coverage_std", "coverage_p95", "coverage_ratio", "density_mean", "density_std", "spacing_mean", "spacing_std", "witness_mean", "witness_std", "log_n"]
     vector = F.concat("lives", "counts", F.array(*tail), F.array(F.lit(float(m))))
     return rows.select("cloud_id", F.transform(vector, lambda x: x.cast("float")).alias("vector"))

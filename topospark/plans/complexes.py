@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topospark.operators import landmarks, metrics, persistence, prepare, witness
+from topospark.operators import knn, landmarks, metrics, persistence, prepare, witness
 from topospark.plans import pipeline, tables
 from topospark.plans.clouds import LANDMARKS_SQL, NEAR_SQL, SEED, M, r6
+from topospark.plans.clouds import ORACLE_SQL as CLOUD_ORACLES
 from topospark.plans.tables import EMBEDDINGS_SQL
 from topospark.session import cut_lineage
 
@@ -98,11 +99,38 @@ def diagram_stats(spark: SparkSession, folder: str) -> DataFrame:
     return stats.select("cloud_id", "dim", "count", *[r6(c) for c in stats.columns[3:]])
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    pts = cut_lineage(tables.embeddings(spark, folder))
+    marks = cut_lineage(landmarks.random(pts, M, SEED))
+    near = cut_lineage(knn.nearest(pts, metrics.landmark_points(pts, marks), K, target_bound=M))
+    return metrics.feature_vector(pts, marks, persistence.diagrams(witness.complex_of(near)), K, M, near)
+
+
 @query()
 def tda_feature_vector(spark: SparkSession, folder: str) -> DataFrame:
-    pts = tables.embeddings(spark, folder)
-    marks = landmarks.random(pts, M, SEED)
-    return metrics.feature_vector(pts, marks, persistence.diagrams(_complex(spark, folder)), K, M)
+    return _vectors(spark, folder)
+
+
+@query(f"""WITH geometry AS ({CLOUD_ORACLES["landmark_geometry"]}), witnesses AS ({CLOUD_ORACLES["witness_spread"]}), one AS ({CLOUD_ORACLES["nn1_coverage"]}),
+cover AS (SELECT cloud_id, avg(dist) AS a, stddev_pop(dist) AS s, quantile_cont(dist, 0.95) AS p, count(*) AS n FROM one GROUP BY cloud_id)
+SELECT cloud_id, round(a, 3) AS coverage_mean, round(s, 3) AS coverage_std, round(p, 3) AS coverage_p95, CAST(1 AS DOUBLE) AS coverage_ratio, round(density_mean, 3) AS density_mean, round(density_std, 3) AS density_std,
+  round(spacing_mean, 3) AS spacing_mean, round(spacing_std, 3) AS spacing_std, round(witness_mean, 3) AS witness_mean, round(witness_std, 3) AS witness_std, round(log10(n + 1), 3) AS log_n, CAST({M} AS DOUBLE) AS m
+FROM geometry JOIN witnesses USING (cloud_id) JOIN cover USING (cloud_id)""")
+def feature_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """The slots of the feature vector behind the lifetimes and counts."""
+    names = ["coverage_mean", "coverage_std", "coverage_p95", "coverage_ratio", "density_mean", "density_std", "spacing_mean", "spacing_std", "witness_mean", "witness_std", "log_n", "m"]
+    return _vectors(spark, folder).select("cloud_id", *[F.round(F.element_at("vector", 40 + i).cast("double"), 3).alias(n) for i, n in enumerate(names)])
+
+
+@query(f"""WITH lives AS ({ORACLE_SQL["persistence_h0"]})
+SELECT cloud_id, count(*) AS finite, round(max(death), 4) AS max_persistence, round(avg(death), 4) AS mean_persistence, round(stddev_pop(death), 4) AS std_persistence, round(sum(death), 4) AS total_persistence
+FROM lives GROUP BY cloud_id""")
+def diagram_stats_h0(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of the classes of dimension 0 that die; the one that never does is no lifetime."""
+    bars = persistence.diagrams(_complex(spark, folder, max_dim=1), "unpaired").where("dim = 0 and death < double('infinity')")
+    bars = bars.withColumn("death", F.round("death", 6))
+    stats = metrics.diagram_statistics(bars, tables.embeddings(spark, folder), 0)
+    return stats.select("cloud_id", F.col("count").alias("finite"), *[F.round(c, 4).alias(c) for c in stats.columns[3:]])
 
 
 @query()
@@ -160,6 +188,15 @@ def _scans(spark: SparkSession, folder: str) -> DataFrame:
     return df.where(whole & F.col("point_id").isNotNull()).groupBy("cloud_id", "point_id").agg(F.min("coords").alias("coords"), F.min(fair).alias("intensity"))
 
 
+@query(f"""WITH cover AS ({CLOUD_ORACLES["coverage_metrics"].replace("'17:'", "'59:'").replace("rank < 16", "rank < 64")}), bright AS ({CLOUD_ORACLES["landmark_intensity"].replace("'17:'", "'59:'").replace("rank < 16", "rank < 64")})
+SELECT cloud_id AS dataset, 'random' AS method, cover.* EXCLUDE (cloud_id), bright.* EXCLUDE (cloud_id) FROM cover JOIN bright USING (cloud_id)""")
+def benchmark_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of result rows that SQL can work out, of one method."""
+    rows = pipeline.run(tables.embeddings(spark, folder), ["random"], m=64, dim=64, k=4, max_dim=1, radius=0.9, seed=42)
+    names = [c for c in rows.columns if (c.startswith("coverage_") and c != "coverage_radius") or c.startswith("landmark_")]
+    return rows.select("dataset", "method", *[r6(c) for c in names])
+
+
 @query()
 def lidar_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The suite on the clouds of scans, with the landmark methods made for them."""
@@ -193,13 +230,30 @@ def suite_radius(spark: SparkSession, folder: str) -> DataFrame:
     return box.select("cloud_id", F.round(metrics.suite_radius(F.col("diameter")), 6).alias("radius"))
 
 
-@query()
-def volume_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """The volume experiment under both presets: counts of order lines by quantity, discount and tax as a volume."""
+AFFINE = [[1.0, 0, 0, 0], [0, 4.0, 0, 0], [0, 0, 5.0, 0]]
+
+
+def _voxels(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of order lines by quantity, discount and tax as a volume."""
     i, j, k = F.col("l_quantity").cast("int"), F.rint(F.col("l_discount") * 100).cast("int"), F.rint(F.col("l_tax") * 100).cast("int")
     voxels = tables.read(spark, folder, "lineitem").groupBy(F.array(i, j, k).alias("ijk")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     at = lambda n: F.get("ijk", F.lit(n))
-    voxels = voxels.select(F.lit("lines").alias("cloud_id"), ((at(0) * 100 + at(1)) * 100 + at(2)).cast("bigint").alias("voxel_id"), "ijk", "value")
-    eye = [[1.0, 0, 0, 0], [0, 4.0, 0, 0], [0, 0, 5.0, 0]]
-    runs = [pipeline.volume_run(voxels, eye, ["random", "hybrid"], preset, 48, 4000, 0.1, 7, rips_points=60).withColumn("preset", F.lit(preset)) for preset in ("standard", "fast")]
+    return voxels.select(F.lit("lines").alias("cloud_id"), ((at(0) * 100 + at(1)) * 100 + at(2)).cast("bigint").alias("voxel_id"), "ijk", "value")
+
+
+@query("""WITH v AS (SELECT CAST(l_quantity AS INTEGER) AS i, CAST(round(l_discount * 100) AS INTEGER) AS j, CAST(round(l_tax * 100) AS INTEGER) AS k, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY ALL),
+cut AS (SELECT quantile_cont(value, 0.9) AS c FROM v), kept AS (SELECT i, 4.0 * j AS y, 5.0 * k AS z, value, CAST((i * 100 + j) * 100 + k AS BIGINT) AS point_id FROM v, cut WHERE value >= c)
+SELECT point_id, round((i - min(i) OVER ()) / greatest(max(i) OVER () - min(i) OVER (), 1e-300), 6) AS x, round((y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()), 6) AS y,
+  round((z - min(z) OVER ()) / (max(z) OVER () - min(z) OVER ()), 6) AS z, round(value - min(value) OVER () + 1e-9, 6) AS intensity FROM kept""")
+def volume_cloud(spark: SparkSession, folder: str) -> DataFrame:
+    """The volume masked, placed in the world and in the unit box; no more points than may stay, so all do."""
+    cloud = prepare.volume_to_cloud(_voxels(spark, folder), AFFINE, 90.0, 100_000, 7)
+    return cloud.select("point_id", *[F.round(F.element_at("coords", i + 1), 6).alias(a) for i, a in enumerate("xyz")], r6("intensity"))
+
+
+@query()
+def volume_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The volume experiment under both presets."""
+    voxels = _voxels(spark, folder)
+    runs = [pipeline.volume_run(voxels, AFFINE, ["random"], preset, 48, 4000, 0.1, 7, rips_points=60).withColumn("preset", F.lit(preset)) for preset in ("standard", "fast")]
     return runs[0].unionByName(runs[1], allowMissingColumns=True)

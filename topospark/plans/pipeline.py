@@ -129,8 +129,9 @@ def diagnostics(points: DataFrame, m: int, k: int, dim: int, seed: int, window:
     cloud = cut_lineage(cloud)
     names = cloud.select("cloud_id", "seq", "frame").distinct()
     marks = cut_lineage(landmarks.select(cloud, "random", m, seed, dim))
-    bars = persistence.diagrams(witness.witness_complex(cloud, marks, k, landmark_bound=m))
-    teacher = names.join(metrics.feature_vector(cloud, marks, bars, k, m).withColumnRenamed("vector", "vec"), "cloud_id")
+    lists = cut_lineage(knn.nearest(cloud, metrics.landmark_points(cloud, marks), k, target_bound=m))
+    bars = persistence.diagrams(witness.complex_of(lists))
+    teacher = names.join(metrics.feature_vector(cloud, marks, bars, k, m, lists).withColumnRenamed("vector", "vec"), "cloud_id")
     score = lambda rows: temporal.topological_signal(temporal.variance_and_snr(temporal.sheaf_score(rows, ["frame"], window), ["frame"], WIDTH, window))
     if student is None:
         return temporal.fallback(score(cut_lineage(teacher.drop("cloud_id"))), ["frame"])

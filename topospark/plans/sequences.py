@@ -126,6 +126,16 @@ def laplacian(spark: SparkSession, folder: str) -> DataFrame:
     return graph.laplacian(_edges(spark, folder))
 
 
+@query(f"""WITH {EDGES_SQL}, ends AS (SELECT graph, u AS i FROM a UNION SELECT graph, v FROM a)
+SELECT graph, i, round(sin(CAST(i AS DOUBLE)), 6) + 0 AS value FROM ends""")
+def low_pass_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """With the whole spectrum kept a signal stays as it is."""
+    edges = _edges(spark, folder)
+    ends = edges.select("graph", F.col("u").alias("i")).unionByName(edges.select("graph", F.col("v").alias("i"))).distinct()
+    signal = ends.withColumn("value", F.sin(F.col("i").cast("double")))
+    return graph.low_pass(signal, graph.laplacian(edges), keep=1.0).select("graph", "i", (F.round("value", 6) + 0.0).alias("value"))
+
+
 @query()
 def low_pass(spark: SparkSession, folder: str) -> DataFrame:
     edges = _edges(spark, folder)
@@ -205,11 +215,14 @@ def ate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {UNIT_SQL}, later AS (SELECT * FROM unit QUALIFY row_number() OVER (PARTITION BY seq ORDER BY frame) > 1)
-SELECT seq, round(sqrt(avg(pow(2 * degrees(acos(least(1, abs(w)))), 2))), 3) + 0 AS rpe_rotation FROM later GROUP BY seq""")
+SELECT seq, round(sqrt(avg(pow(2 * degrees(acos(least(1, abs(w)))), 2))), 3) + 0 AS rpe_rotation,
+  round(sqrt(avg(pow(t[1], 2) + pow(t[2], 2) + pow(t[3] - 1, 2))), 3) + 0 AS rpe_translation FROM later GROUP BY seq""")
 def rpe(spark: SparkSession, folder: str) -> DataFrame:
-    """Against a walk without rotation, the error of rotation is the angle of each step."""
-    found = odometry.relative_error(_straight(spark, folder), odometry.trajectory(_poses(spark, folder)))
-    return found.select("seq", (F.round("rpe_rotation", 3) + 0.0).alias("rpe_rotation"))
+    """Against a walk straight ahead by one a step, the errors are the angle of each step and how far its shift is from that."""
+    identity, ahead = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0, 0, 0, 1)]), F.array(*[F.lit(float(x)) for x in (0, 0, 1)])
+    truth = odometry.trajectory(tables.steps(spark, folder).select("seq", "frame", R.pose(identity, ahead).alias("step")))
+    found = odometry.relative_error(odometry.trajectory(_poses(spark, folder)), truth)
+    return found.select("seq", *[(F.round(c, 3) + 0.0).alias(c) for c in ("rpe_rotation", "rpe_translation")])
 
 
 @query(f"""WITH {UNIT_SQL} SELECT seq, round(avg(pow(t[1], 2) + pow(t[2], 2) + pow(t[3] - 1, 2)) / 3, 6) AS translation_loss, round(avg(acos(least(1, abs(w)))), 6) AS rotation_loss,

@@ -174,3 +174,12 @@ def test_long_gaps_in_a_trajectory(spark):
     rows = spark.createDataFrame([("a", f, step.ravel().tolist()) for f in frames], "seq string, frame int, step array<double>")
     got = {r.frame: r.pose[3] for r in odometry.trajectory(rows).collect()}
     assert got == {f: i + 1.0 for i, f in enumerate(frames)}
+
+
+def test_stretches_hold_as_many_rows_whatever_the_gaps(spark, monkeypatch):
+    from topospark.functions import stretches
+
+    monkeypatch.setattr(stretches, "STRETCH", 100)
+    rows = spark.range(1000).select(F.lit("a").alias("seq"), F.when(F.col("id") == 999, 10**9).otherwise(F.col("id")).alias("frame"))
+    held = stretches.cut(rows, "seq", ["frame"]).groupBy("__stretch").count().collect()
+    assert len(held) == 10 and max(r["count"] for r in held) <= 110

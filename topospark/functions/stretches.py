@@ -8,22 +8,26 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 STRETCH = 1 << 20
+EDGES = 1024  # the most stretches of a group
 
 
 def cut(rows: DataFrame, key: str, order: list[str]) -> DataFrame | None:
     """``rows`` with ``__stretch``, growing with the first order column; None if no group is over ``STRETCH`` rows.
 
+    Edges are approximate quantiles of the group, so stretches hold about as many rows each
+    whatever the distances along the order; rows equal in the first order column stay together.
     Nulls of the order column belong to the first stretch, as they sort first.
     """
     if rows.groupBy(key).count().where(F.col("count") > STRETCH).isEmpty():
         return None
     at = F.col(order[0]).cast("double")
-    parts = F.ceil(F.count(F.lit(1)) / STRETCH).alias("__parts")
-    span = rows.groupBy(F.col(key).alias("__key")).agg(F.min(at).alias("__low"), F.max(at).alias("__high"), parts)
-    unit = (at - F.col("__low")) / (F.col("__high") - F.col("__low"))
-    place = F.when(at.isNotNull() & (F.col("__high") > F.col("__low")), F.least(F.floor(unit * F.col("__parts")), F.col("__parts") - 1))
-    placed = rows.join(span, F.col(key).eqNullSafe(F.col("__key")))
-    return placed.withColumn("__stretch", F.coalesce(place, F.lit(0)).cast("bigint")).drop("__key", "__low", "__high", "__parts")
+    parts = F.least(F.lit(EDGES), F.ceil(F.count(F.lit(1)) / STRETCH)).cast("int").alias("__parts")
+    quantiles = F.percentile_approx(at, [i / EDGES for i in range(1, EDGES)], 10_000).alias("__q")
+    edges = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("__parts") - 1)), lambda j: F.get("__q", F.floor(j * EDGES / F.col("__parts")).cast("int") - 1))
+    cuts = rows.groupBy(F.col(key).alias("__key")).agg(parts, quantiles).select("__key", F.when(F.col("__parts") > 1, edges).otherwise(F.array().cast("array<double>")).alias("__edges"))
+    placed = rows.join(cuts, F.col(key).eqNullSafe(F.col("__key")))
+    place = F.size(F.filter("__edges", lambda e: e <= at))
+    return placed.withColumn("__stretch", F.when(at.isNotNull(), place).otherwise(0).cast("bigint")).drop("__key", "__edges")
 
 
 def with_rows_before(placed: DataFrame, key: str, order: list[str], reach: int) -> DataFrame:

@@ -47,11 +47,41 @@ def test_greedy_picks_do_not_depend_on_the_size_limit(spark, monkeypatch, kernel
     rng = np.random.default_rng(3)
     pts = cloud(spark, np.round(rng.random((120, 2)), 1)).unionByName(cloud(spark, rng.random((90, 2)), 2)).unionByName(cloud(spark, rng.random((20, 2)), 3))
     pts = pts.withColumnRenamed("intensity", "score").withColumn("score", F.pmod("score", F.lit(7.0)) / 7)
-    picks = lambda: sorted(map(tuple, landmarks.greedy(pts, 6, kernel, 0.5).collect()))
+    picks = lambda: sorted(map(tuple, landmarks.greedy(pts, 30, kernel, 0.3).collect()))
     exact = picks()
     monkeypatch.setattr(landmarks, "GREEDY_BLOCK", 40)
-    monkeypatch.setattr(landmarks, "GREEDY_SAVE", 3)
-    assert len(exact) == 18 and picks() == exact
+    monkeypatch.setattr(landmarks, "GREEDY_LEAD", 12)
+    assert len(exact) == 80 and picks() == exact
+
+
+@pytest.mark.parametrize("kernel", [landmarks._weighted_maxmin, landmarks._hybrid_maxmin])
+@pytest.mark.parametrize("lead", [1, 7, 60])
+def test_rounds_of_leading_rows_give_the_greedy_picks(kernel, lead):
+    rng = np.random.default_rng(lead)
+    for case in range(6):
+        x = np.round(rng.random((200, 2)), 1 if case % 2 else 6)
+        score = np.round(rng.random(200), 1) - (0.3 if case == 4 else 0.0)
+        want = kernel(x, score, 40, 0.4)
+        free, got = np.ones(200, dtype=bool), want[:1]
+        while len(got) < 40:
+            free[got] = False
+            at = np.flatnonzero(free)
+            gap = np.sqrt(((x[at, None] - x[got]) ** 2).sum(-1)).min(1)
+            if kernel is landmarks._weighted_maxmin:
+                views = {0: np.round(gap * score[at], landmarks.DIGITS)}
+            else:
+                blend = lambda f: 0.4 * score[at] + 0.6 * (gap / (gap.max() * f + 1e-12) if gap.max() > 1e-12 else 0 * gap)
+                views = {i: blend(f) for i, f in enumerate(landmarks.SHRINK)} | {landmarks.WIDTHS: gap}
+                views[0] = np.round(views[0], landmarks.DIGITS)
+            orders = {i: np.lexsort((at, -v))[:lead] for i, v in views.items()}
+            some = np.unique(np.concatenate(list(orders.values())))
+            last = {i: (float(views[i][o[-1]]), int(np.searchsorted(some, o[-1]))) for i, o in orders.items() if len(o) == lead}
+            new = landmarks._advance(x[at[some]], score[at[some]], gap[some], last, 40 - len(got), float(score.min()), kernel, 0.4)
+            assert new
+            got = got + [int(i) for i in at[some][new]]
+        if case != 4:  # negative weights: a picked row's value stands for -1 in one task
+            assert got == [int(i) for i in want]
+        assert len(set(got)) == 40
 
 
 def test_every_method_gives_m_distinct_points(spark):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,9 @@ from topospark.operators import knn, prepare
 from topospark.session import cut_lineage
 
 GREEDY_BLOCK = 20_000
-GREEDY_SAVE = 16  # picks after which the distances of a large cloud are written
+GREEDY_LEAD = 1024  # rows of each view among which a round picks in a large cloud
+SHRINK = (1.0, 0.9, 0.8, 0.7, 0.6)  # parts of the widest gap at which blends are seen
+WIDTHS = len(SHRINK)  # the view of the gaps
 LATE = 1 << 30  # drawn points come after all picks
 DIGITS = 9  # scores are rounded before they are compared, so that the last bit never decides
 
@@ -64,74 +66,112 @@ def _hybrid_maxmin(x: np.ndarray, score: np.ndarray, m: int, alpha: float) -> li
     return picks
 
 
-def _value(kernel: Callable, alpha: float) -> Column:
-    """The value a kernel gives a free point, from its ``score``, its ``gap`` and the cloud's ``widest`` gap."""
-    if kernel is _weighted_maxmin:
-        value = F.col("gap") * F.col("score")
-    elif kernel is _hybrid_maxmin:
-        reach = F.when(F.col("widest") > 1e-12, F.col("gap") / (F.col("widest") + F.lit(1e-12))).otherwise(0.0)
-        value = F.lit(alpha) * F.col("score") + F.lit(1 - alpha) * reach
-    else:
-        raise ValueError("a kernel without a value for clouds over one task")
-    return _rounded(value)
-
-
 def _rounded(value: Column) -> Column:
     """As NumPy rounds."""
     return F.rint(value * 10.0**DIGITS) / 10.0**DIGITS
 
 
-def _best(rated: DataFrame) -> DataFrame:
-    """``(cloud_id, point_id)`` of the largest ``value`` of each cloud, ties to the smallest id; batches hand on one row a cloud."""
-    names = ["cloud_id", "point_id", "value"]
+def _views(kernel: Callable, alpha: float) -> Column:
+    """Array of ``(view, v)``, the orders in which a round looks for its leading rows, from ``score``, ``gap`` and ``widest``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).sort_by([("cloud_id", "ascending"), ("value", "descending"), ("point_id", "ascending")])
-            clouds = table.column("cloud_id").to_pylist()
-            first = [i for i, c in enumerate(clouds) if not i or c != clouds[i - 1]]
-            yield from table.take(pa.array(first, pa.int64())).combine_chunks().to_batches()
+    View 0 is the value of the kernel now. A blend depends on the widest gap as well, which falls
+    with the picks, so it is also seen at smaller widths (``SHRINK``), and the gaps themselves are a view.
+    """
+    view = lambda i, v: F.struct(F.lit(i).alias("view"), v.alias("v"))
+    if kernel is _weighted_maxmin:
+        return F.array(view(0, _rounded(F.col("gap") * F.col("score"))))
+    if kernel is not _hybrid_maxmin:
+        raise ValueError("a kernel without a value for clouds over one task")
+    reach = lambda f: F.when(F.col("widest") > 1e-12, F.col("gap") / (F.col("widest") * f + F.lit(1e-12))).otherwise(0.0)
+    blend = lambda f: F.lit(alpha) * F.col("score") + F.lit(1 - alpha) * reach(f)
+    return F.array(view(0, _rounded(blend(SHRINK[0]))), *[view(i, blend(f)) for i, f in enumerate(SHRINK) if i], view(WIDTHS, F.col("gap")))
 
-    thin = rated.select(*names)
-    some = thin.mapInArrow(run, ", ".join(f"{c} {thin.schema[c].dataType.simpleString()}" for c in names))
-    return some.groupBy("cloud_id").agg(F.min_by("point_id", F.struct(F.lit(0.0) - F.col("value"), "point_id")).alias("point_id"))
+
+def _advance(x: np.ndarray, score: np.ndarray, gap: np.ndarray, last: dict[int, tuple[float, int]], left: int, lowest: float, kernel: Callable, alpha: float) -> list[int]:
+    """The next picks among the leading rows of a cloud, as long as no other row can come first.
+
+    ``last`` holds the value and place of the last leading row of each view. Gaps only fall, so no
+    other row exceeds it; the first pick leads view 0 and is always right.
+    """
+    picks: list[int] = []
+    free = np.ones(len(x), dtype=bool)
+    began = gap.max()
+
+    def is_next(best: int, value: float, widest: float) -> bool:
+        if not last:
+            return True
+        bound, place = last[0]
+        if kernel is _weighted_maxmin:
+            return value > max(bound, 0.0) if lowest < 0 else (value, -best) >= (bound, -place)
+        if widest < last[WIDTHS][0]:
+            return False
+        if widest == began or began <= 1e-12:
+            return (value, -best) >= (bound, -place)
+        # the largest value of the others is convex in the inverse of the width
+        widths = [1 / (began * f + 1e-12) for f in SHRINK]
+        now = 1 / (widest + 1e-12)
+        return now <= widths[-1] and value > np.interp(now, widths, [last[i][0] for i in range(len(SHRINK))]) + 2 * 10.0**-DIGITS
+
+    while len(picks) < left and free.any():
+        widest = gap.max()
+        if kernel is _weighted_maxmin:
+            value = gap * score
+        else:
+            value = alpha * score + (1 - alpha) * (gap / (widest + 1e-12) if widest > 1e-12 else np.zeros(len(x)))
+        value = np.where(free, np.round(value, DIGITS), -np.inf)
+        best = int(np.argmax(value))
+        if picks and not is_next(best, float(value[best]), float(widest)):
+            break
+        picks.append(best)
+        free[best] = False
+        gap = np.minimum(gap, np.sqrt(knn.squared_distances(x, x[best : best + 1])[:, 0]))
+    return picks
 
 
 def _in_rounds(rows: DataFrame, m: int, kernel: Callable, alpha: float) -> DataFrame:
-    """The picks of a kernel for clouds of any size, one pass over their rows a pick.
+    """The picks of a kernel for clouds of any size, several a pass over their rows.
 
-    A row keeps its distance to the picks so far (``gap``) and whether it is free. The picks since
-    the rows were last written, at most ``GREEDY_SAVE``, come in by a join.
+    A free row keeps its distance to the picks so far (``gap``). A round finds the ``GREEDY_LEAD``
+    leading rows of each view, picks among them in one task a cloud, and measures the rest anew.
+    Ties, repeated rows and blends may leave a round with a single pick, never with a wrong one.
     """
-    state = cut_lineage(rows.select("*", F.lit(float("inf")).alias("gap"), F.lit(True).alias("free")))
-    best = cut_lineage(_best(state.withColumn("value", _rounded(F.col("score")))))
-    picks = best.withColumn("rank", F.lit(0))
-    recent = None
-    for rank in range(1, m):
-        pick = best.join(state.select("cloud_id", "point_id", "coords"), ["cloud_id", "point_id"]).select("cloud_id", F.array(F.struct("point_id", "coords")).alias("mark"))
-        recent = pick.withColumnRenamed("mark", "recent") if recent is None else recent.join(pick, "cloud_id").select("cloud_id", F.concat("recent", "mark").alias("recent"))
-        recent = cut_lineage(recent)
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    schema = f"cloud_id {kind('cloud_id')}, rank int, point_id {kind('point_id')}, coords {kind('coords')}"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("point_id")
+        last = {e["view"]: (e["v"], i) for i, ends in enumerate(table.column("ends").to_pylist()) for e in ends}
+        x, score, gap = knn._matrix(table.column("coords")), table.column("score").to_numpy(), table.column("gap").to_numpy()
+        taken = table.column("taken")[0].as_py()
+        picks = _advance(x, score, gap, last, m - taken, table.column("lowest")[0].as_py() or 0.0, kernel, alpha)
+        return table.take(pa.array(picks, pa.int64())).select(["cloud_id", "point_id", "coords"]).add_column(1, "rank", pa.array(range(taken, taken + len(picks)), pa.int32()))
+
+    first = F.min_by("coords", F.struct(F.lit(0.0) - _rounded(F.col("score")), "point_id"))
+    first_id = F.min_by("point_id", F.struct(F.lit(0.0) - _rounded(F.col("score")), "point_id"))
+    new = cut_lineage(rows.groupBy("cloud_id").agg(F.lit(0).alias("rank"), first_id.alias("point_id"), first.alias("coords")))
+    picks = new
+    state = rows.withColumn("gap", F.lit(float("inf")))
+    order = F.row_number().over(Window.partitionBy("cloud_id", "view").orderBy(F.desc("v"), "point_id"))
+    while not new.isEmpty():
+        recent = new.groupBy("cloud_id").agg(F.collect_list(F.struct("point_id", "coords")).alias("recent"), (F.max("rank") + 1).alias("taken")).where(F.col("taken") < m)
         nearer = F.array_min(F.transform("recent", lambda r: distance("coords", r["coords"])))
-        free = F.col("free") & ~F.array_contains(F.col("recent.point_id"), F.col("point_id"))
-        seen = state.join(recent, "cloud_id").select("cloud_id", "point_id", "coords", "score", F.least("gap", nearer).alias("gap"), free.alias("free"))
-        if rank % GREEDY_SAVE == 0:
-            state, recent, picks = cut_lineage(seen), None, cut_lineage(picks)
-            seen = state
-        if kernel is _hybrid_maxmin:
-            widest = cut_lineage(seen.groupBy("cloud_id").agg(F.max("gap").alias("widest")))
-            rated = seen.where("free").join(widest, "cloud_id")
-        else:
-            rated = seen.where("free")
-        best = cut_lineage(_best(rated.withColumn("value", _value(kernel, alpha))))
-        picks = picks.unionByName(best.withColumn("rank", F.lit(rank)))
+        free = state.drop("taken").join(recent, "cloud_id").where(~F.array_contains(F.col("recent.point_id"), F.col("point_id")))
+        state = cut_lineage(free.select("cloud_id", "point_id", "coords", "score", F.least("gap", nearer).alias("gap"), "taken"))
+        widths = state.groupBy("cloud_id").agg(F.max("gap").alias("widest"), F.min("score").alias("lowest"))
+        seen = state.join(widths, "cloud_id").select("cloud_id", "point_id", F.inline(_views(kernel, alpha)))
+        lead = seen.withColumn("place", order).where(F.col("place") <= GREEDY_LEAD)
+        ends = F.collect_list(F.when(F.col("place") == GREEDY_LEAD, F.struct("view", "v")))
+        leading = lead.groupBy("cloud_id", "point_id").agg(ends.alias("ends")).join(state, ["cloud_id", "point_id"]).join(widths.drop("widest"), "cloud_id")
+        new = cut_lineage(leading.groupBy("cloud_id").applyInArrow(run, schema))
+        picks = cut_lineage(picks.unionByName(new))
     return picks.where(F.col("rank") < m).select("cloud_id", "rank", "point_id")
 
 
 def greedy(scored: DataFrame, m: int, kernel: Callable, alpha: float) -> DataFrame:
     """Greedy picks from rows ``(cloud_id, point_id, coords, score)``; ties go to the smallest id.
 
-    A cloud of up to ``GREEDY_BLOCK`` points is served in one task, a larger one in a pass over its
-    rows for each pick; the picks are the same.
+    A cloud of up to ``GREEDY_BLOCK`` points is served in one task, a larger one in rounds over its
+    rows that give several picks each; the picks are the same.
     """
     rows = scored.select("cloud_id", "point_id", "coords", F.col("score").cast("double").alias("score"))
     kind = lambda c: rows.schema[c].dataType.simpleString()

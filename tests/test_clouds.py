@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topospark.functions.quantiles import quantiles
+from topospark.functions.quantiles import quantiles, with_slots
 from topospark.operators import knn, landmarks, metrics, prepare
 from topospark.plans import pipeline
 from topospark.sources import generators
@@ -171,3 +171,16 @@ def test_pruned_neighbours_equal_brute_force(spark, monkeypatch):
     few = spark.createDataFrame([("big", -1, [1000.0, 1000.0, 1000.0])], "cloud_id string, point_id bigint, coords array<double>")
     far = knn.nearest(few, pts, 3).first()
     assert np.allclose([n.dist for n in far.neighbours], sorted(np.sqrt(((x - 1000) ** 2).sum(1)))[:3], rtol=1e-12)
+
+
+def test_stray_values_leave_no_bin_with_most_rows(spark):
+    x = np.concatenate([np.random.default_rng(5).random(4000), [1e12, -1e12, 3e9]])
+    df = spark.createDataFrame([(1, float(v)) for v in x] + [(2, None), (3, 4.0), (3, None)], "cloud_id int, weight double")
+    rows = with_slots(df, "weight", ["cloud_id"]).collect()
+    own = sorted((r.weight, r.slot) for r in rows if r.cloud_id == 1)
+    slots = [s for _, s in own]
+    assert len(rows) == 4006 and slots == sorted(slots)
+    assert max(slots.count(s) for s in set(slots)) < 4003 / 16
+    assert all(r.slot == 0 for r in rows if r.weight is None)
+    found = quantiles(df, "weight", {"low": 0.1, "middle": 0.5}, ["cloud_id"]).where("cloud_id = 1").first()
+    assert np.allclose([found.low, found.middle], np.quantile(x, [0.1, 0.5]))

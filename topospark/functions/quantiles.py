@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 4096
+PIECES = 32  # stretches of about equally many rows in a group
+STEPS = 128  # equally wide bins of a stretch
 
 
 def with_slots(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Adds ``slot``, an order-preserving bin of a value within its group."""
-    span = values.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    unit = F.when(F.col("__high") > F.col("__low"), (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low"))).otherwise(F.lit(0.0))
-    return values.join(span, keys).withColumn("slot", F.least(F.lit(SLOTS - 1), F.floor(unit * SLOTS)).cast("int")).drop("__low", "__high")
+    """Adds ``slot``, an order-preserving bin of a value within its group.
+
+    Stretches end at approximate quantiles, so stray values far from the rest leave no bin with
+    more than about one in ``PIECES`` of the rows of a group, copies of one value aside. Null lies in
+    the first bin, NaN in the last stretch.
+    """
+    shares = [i / PIECES for i in range(1, PIECES)]
+    span = values.groupBy(*keys).agg(
+        F.min(value).cast("double").alias("__low"), F.max(value).cast("double").alias("__high"), F.percentile_approx(F.col(value).cast("double"), shares, 1000).alias("__cuts")
+    )
+    span = span.select(*keys, F.concat(F.array("__low"), "__cuts", F.array("__high")).alias("__edges"))
+    passed = F.size(F.filter(F.slice("__edges", 2, PIECES - 1), lambda e: e <= F.col(value)))
+    at = values.join(span, keys).withColumn("__piece", F.greatest(F.lit(0), passed))
+    low, high = F.get("__edges", F.col("__piece")), F.get("__edges", F.col("__piece") + 1)
+    unit = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0))
+    step = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor(unit * STEPS)))
+    return at.withColumn("slot", (F.col("__piece") * STEPS + F.coalesce(step, F.lit(0))).cast("int")).drop("__edges", "__piece")
 
 
 def at_ranks(values: DataFrame, value: str, ranks: DataFrame, keys: list[str]) -> DataFrame:

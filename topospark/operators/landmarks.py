@@ -128,10 +128,10 @@ def _advance(x: np.ndarray, score: np.ndarray, gap: np.ndarray, last: dict[int,
     return picks
 
 
-def _in_rounds(rows: DataFrame, m: int, kernel: Callable, alpha: float) -> DataFrame:
+def _in_rounds(rows: DataFrame, m: int, kernel: Callable, alpha: float, lead: int) -> DataFrame:
     """The picks of a kernel for clouds of any size, several a pass over their rows.
 
-    A free row keeps its distance to the picks so far (``gap``). A round finds the ``GREEDY_LEAD``
+    A free row keeps its distance to the picks so far (``gap``). A round finds the ``lead``
     leading rows of each view, picks among them in one task a cloud, and measures the rest anew.
     Ties, repeated rows and blends may leave a round with a single pick, never with a wrong one.
     """
@@ -159,20 +159,21 @@ def _in_rounds(rows: DataFrame, m: int, kernel: Callable, alpha: float) -> DataF
         state = cut_lineage(free.select("cloud_id", "point_id", "coords", "score", F.least("gap", nearer).alias("gap"), "taken"))
         widths = state.groupBy("cloud_id").agg(F.max("gap").alias("widest"), F.min("score").alias("lowest"))
         seen = state.join(widths, "cloud_id").select("cloud_id", "point_id", F.inline(_views(kernel, alpha)))
-        lead = seen.withColumn("place", order).where(F.col("place") <= GREEDY_LEAD)
-        ends = F.collect_list(F.when(F.col("place") == GREEDY_LEAD, F.struct("view", "v")))
-        leading = lead.groupBy("cloud_id", "point_id").agg(ends.alias("ends")).join(state, ["cloud_id", "point_id"]).join(widths.drop("widest"), "cloud_id")
+        some = seen.withColumn("place", order).where(F.col("place") <= lead)
+        ends = F.collect_list(F.when(F.col("place") == lead, F.struct("view", "v")))
+        leading = some.groupBy("cloud_id", "point_id").agg(ends.alias("ends")).join(state, ["cloud_id", "point_id"]).join(widths.drop("widest"), "cloud_id")
         new = cut_lineage(leading.groupBy("cloud_id").applyInArrow(run, schema))
         picks = cut_lineage(picks.unionByName(new))
     return picks.where(F.col("rank") < m).select("cloud_id", "rank", "point_id")
 
 
-def greedy(scored: DataFrame, m: int, kernel: Callable, alpha: float) -> DataFrame:
+def greedy(scored: DataFrame, m: int, kernel: Callable, alpha: float, block: int | None = None, lead: int | None = None) -> DataFrame:
     """Greedy picks from rows ``(cloud_id, point_id, coords, score)``; ties go to the smallest id.
 
-    A cloud of up to ``GREEDY_BLOCK`` points is served in one task, a larger one in rounds over its
-    rows that give several picks each; the picks are the same.
+    A cloud of up to ``block`` points is served in one task, a larger one in rounds over its rows
+    that give several picks each, from ``lead`` leading rows; the picks are the same for any of both.
     """
+    block, lead = block or GREEDY_BLOCK, lead or GREEDY_LEAD
     rows = scored.select("cloud_id", "point_id", "coords", F.col("score").cast("double").alias("score"))
     kind = lambda c: rows.schema[c].dataType.simpleString()
     schema = f"cloud_id {kind('cloud_id')}, rank int, point_id {kind('point_id')}"
@@ -184,17 +185,17 @@ def greedy(scored: DataFrame, m: int, kernel: Callable, alpha: float) -> DataFra
         return table.take(pa.array(picks)).select(["cloud_id", "point_id"]).add_column(1, "rank", pa.array(range(len(picks)), pa.int32()))
 
     sizes = rows.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("held"))
-    if (sizes.agg(F.max("held")).first()[0] or 0) <= GREEDY_BLOCK:
+    if (sizes.agg(F.max("held")).first()[0] or 0) <= block:
         return rows.groupBy("cloud_id").applyInArrow(run, schema)
     sizes = cut_lineage(sizes)
-    small = rows.join(sizes.where(F.col("held") <= GREEDY_BLOCK), "cloud_id", "left_semi")
-    large = rows.join(sizes.where(F.col("held") > GREEDY_BLOCK), "cloud_id", "left_semi")
-    return small.groupBy("cloud_id").applyInArrow(run, schema).unionByName(_in_rounds(large, m, kernel, alpha))
+    small = rows.join(sizes.where(F.col("held") <= block), "cloud_id", "left_semi")
+    large = rows.join(sizes.where(F.col("held") > block), "cloud_id", "left_semi")
+    return small.groupBy("cloud_id").applyInArrow(run, schema).unionByName(_in_rounds(large, m, kernel, alpha, lead))
 
 
-def weighted_maxmin(points: DataFrame, weights: DataFrame, m: int) -> DataFrame:
+def weighted_maxmin(points: DataFrame, weights: DataFrame, m: int, block: int | None = None, lead: int | None = None) -> DataFrame:
     """Farthest-point picks under a weight column ``score`` of ``weights``."""
-    return greedy(points.join(weights.select("cloud_id", "point_id", "score"), ["cloud_id", "point_id"]), m, _weighted_maxmin, 0.0)
+    return greedy(points.join(weights.select("cloud_id", "point_id", "score"), ["cloud_id", "point_id"]), m, _weighted_maxmin, 0.0, block, lead)
 
 
 def density(points: DataFrame, m: int, dim: int, c: float = 8, k: int = 15, alpha: float = 0.8, seed: int = 42, near: DataFrame | None = None) -> DataFrame:

@@ -195,12 +195,22 @@ def landmarks_density(spark: SparkSession, folder: str) -> DataFrame:
     return landmarks.density(tables.embeddings(spark, folder), 10, 4)
 
 
-@query(greedy_sql(EMBEDDINGS_SQL, "scored AS (SELECT *, intensity AS s FROM pts)", "d * s", 12))
+WEIGHTED_SQL = greedy_sql(EMBEDDINGS_SQL, "scored AS (SELECT *, intensity AS s FROM pts)", "d * s", 12)
+
+
+@query(WEIGHTED_SQL)
 def weighted_maxmin(spark: SparkSession, folder: str) -> DataFrame:
     pts = tables.embeddings(spark, folder)
     return landmarks.weighted_maxmin(pts, pts.withColumnRenamed("intensity", "score"), 12)
 
 
+@query(WEIGHTED_SQL)
+def weighted_maxmin_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The same picks by the rounds that serve clouds beyond one task."""
+    pts = tables.embeddings(spark, folder)
+    return landmarks.weighted_maxmin(pts, pts.withColumnRenamed("intensity", "score"), 12, block=20, lead=16)
+
+
 @query(f"""WITH {EVENTS_SQL} SELECT cloud_id, array_to_string(list_transform(coords, lambda x: CAST(CAST(floor(x / 50) AS BIGINT) AS VARCHAR)), ',') AS cell, count(*) AS n
 FROM pts GROUP BY ALL""")
 def spatial_hash(spark: SparkSession, folder: str) -> DataFrame:
